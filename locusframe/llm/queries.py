@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, lang_cnn, license_scan, packing, quality_forest, token_count, toxicity, url_rules
+from . import brown_lm, decontam, lang_cnn, license_scan, ngram_join, packing, quality_forest, token_count, toxicity, url_rules
 from .common import read
 
 
@@ -22,6 +23,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_pairs(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -39,10 +44,33 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.perplexities(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language_id, op3_toxicity, op5_packing, op6_token_counts, op7_quality_rules, op8_decontamination, op10_license_scans)}
-
-ORACLE_SQL = {"op1_url_filters": url_rules.oracle_sql(), "op5_packing": packing.oracle_sql()}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_language_id,
+        op3_toxicity,
+        op4_ngram_join,
+        op5_packing,
+        op6_token_counts,
+        op7_quality_rules,
+        op8_decontamination,
+        op9_lm_scoring,
+        op10_license_scans,
+        pipeline,
+    )
+}
+
+ORACLE_SQL = {"op1_url_filters": url_rules.oracle_sql(), "op4_ngram_join": ngram_join.oracle_sql(), "op5_packing": packing.oracle_sql()}
