@@ -127,11 +127,11 @@ def merge_iou(x: DataFrame, least: float = 0.3) -> DataFrame:
             out.append(now)
         return pd.DataFrame(out, columns=["chr", "start", "end", "n_merged"])
 
-    # spans of one overlap island only can merge, so islands are folded apart
+    # spans of one overlap island only can merge, so runs of islands are folded apart
     order = Window.partitionBy("chr").orderBy("start", "end", "id")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     y = x.withColumn("_k", F.sum(F.when(F.col("start") <= before, 0).otherwise(1)).over(order))
-    return y.select("chr", "start", "end", "_k").groupBy("chr", "_k").applyInPandas(one, name)
+    return y.select("chr", "start", "end", F.expr("_k div 5000").alias("_k")).groupBy("chr", "_k").applyInPandas(one, name)
 
 
 def filter_contained(x: DataFrame, least: int = 3, ratio: float = 3.0) -> DataFrame:
