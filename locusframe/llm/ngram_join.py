@@ -6,7 +6,7 @@ their sets is at least a threshold. Three scans of the text do it:
 1. each set's size and key, and a sketch of how many documents have each n-gram;
 2. each set's n-grams ordered rare first; only a prefix of them is joined, with
    length and positional filters where equal n-grams meet;
-3. the sets of the candidates, each pair verified once behind a suffix filter.
+3. the sets of the candidates that pass a suffix filter, each pair verified once.
 
 Equal sets share a key and go through the join as one.
 """
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ _CHUNKS = 64
 BUCKET_ENTRIES = 1_500_000
 #: Candidate pairs that a bucket expands at a time.
 _PAIRS = 2_000_000
+#: Bytes of sets that a task verifies pairs of about.
+PLACE_BYTES = 12 << 20
 
 
 def least_overlap(a, b, t: float):
@@ -58,28 +61,29 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """Scan 1: rows ``(doc_id, key, size, null)`` and, from each task, ``(null, chunk, null, counts)``."""
-    names = ["doc_id", "key", "size", "counts"]
+    """Scan 1: rows ``(doc_id, key, size, null, outline)`` and, from each task, ``(null, chunk, null, counts, null)``."""
+    names = ["doc_id", "key", "size", "counts", "outline"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         seen = False
         for b in batches:
-            sizes, keys = [], []
-            for _, _, _, gram, size, key in _sets(b.column(1), n):
+            sizes, keys, outs = [], [], []
+            for _, _, doc, gram, size, key in _sets(b.column(1), n):
                 total += np.bincount((gram & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), minlength=len(total))
                 sizes.append(size)
                 keys.append(key)
+                outs.append(outlines(doc, gram, size))
             if sizes:
                 seen = True
                 size, key = np.concatenate(sizes), np.concatenate(keys).view(np.int64)
                 some = size > 0
-                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(key[some]), pa.array(size[some]), pa.nulls(int(some.sum()), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(key[some]), pa.array(size[some]), pa.nulls(int(some.sum()), pa.binary()), pa.concat_arrays(outs)], names=names)
         if seen:
             cells = [zlib.compress(c.tobytes(), 1) for c in np.split(total.astype(np.uint32), _CHUNKS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(cells, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(_CHUNKS, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, key bigint, size bigint, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, size bigint, counts binary, outline binary")
 
 
 def _sketch(survey: DataFrame) -> np.ndarray:
@@ -220,59 +224,129 @@ def _candidates(prefixes: DataFrame, t: float) -> DataFrame:
 
 
 def _pack48(x: np.ndarray) -> bytes:
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+    """A sorted set as its steps, by planes: the high ones are nearly all zero and compress away."""
+    d = np.diff(x, prepend=np.uint64(0))
+    return (d & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (d >> np.uint64(32)).astype(np.uint8).tobytes() + (d >> np.uint64(40)).astype(np.uint8).tobytes()
 
 
 def _unpack48(b: bytes) -> np.ndarray:
     n = len(b) // 6
-    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | (np.frombuffer(b, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32))
+    low, mid, high = np.frombuffer(b, np.uint32, n), np.frombuffer(b, np.uint8, n, 4 * n), np.frombuffer(b, np.uint8, n, 5 * n)
+    return np.cumsum(low.astype(np.uint64) | (mid.astype(np.uint64) << np.uint64(32)) | (high.astype(np.uint64) << np.uint64(40)), dtype=np.uint64)
 
 
-def suffix_filter(a: np.ndarray, b: np.ndarray, t: float) -> bool:
-    """Whether two sorted sets may be similar: sixteen pivots split both, and the parts' sizes bound what differs."""
-    at = np.arange(1, 16, dtype=np.uint64) << np.uint64(vt.GRAM_BITS - 4)
-    ca = np.diff(np.concatenate([[0], np.searchsorted(a, at), [len(a)]]))
-    cb = np.diff(np.concatenate([[0], np.searchsorted(b, at), [len(b)]]))
-    return np.abs(ca - cb).sum() <= len(a) + len(b) - 2 * least_overlap(len(a), len(b), t)
+def outlines(doc: np.ndarray, gram: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Of each non-empty set: how many of its grams lie in each of 2**k equal ranges of hashes, two to four on average, in four bits and 15 at most."""
+    size = size.astype(np.int64)
+    bits = np.clip(np.floor(np.log2(np.maximum(size, 1) / 2)), 1, 24).astype(np.int64)
+    cells = np.where(size > 0, 1 << bits, 0)
+    lead = np.concatenate([[0], np.cumsum(cells)])
+    at = lead[doc] + (gram >> (np.uint64(vt.GRAM_BITS) - bits[doc].astype(np.uint64))).astype(np.int64)
+    n = np.minimum(np.bincount(at, minlength=lead[-1]), 15).astype(np.uint8)
+    off = (lead[np.concatenate([np.flatnonzero(size > 0), [len(size)]])] // 2).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.tobytes()), pa.py_buffer((n[0::2] | (n[1::2] << 4)).tobytes())])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
+def _cells(outline: bytes) -> np.ndarray:
+    b = np.frombuffer(outline, np.uint8)
+    out = np.empty(2 * len(b), np.int16)
+    out[0::2], out[1::2] = b & 15, b >> 4
+    return out
+
+
+def suffix_filter(a: np.ndarray, b: np.ndarray, na: int, nb: int, t: float) -> bool:
+    """Whether two sets of these sizes may be similar: ranges of hashes split both, and what their counts differ by is not common.
+
+    The bound is exact: no similar pair is lost. A finer outline is folded to the coarser one first.
+    """
+    while len(a) > len(b):
+        a = np.minimum(a[0::2] + a[1::2], 15)
+    while len(b) > len(a):
+        b = np.minimum(b[0::2] + b[1::2], 15)
+    return int(np.abs(a - b).sum()) <= na + nb - 2 * least_overlap(na, nb, t)
+
+
+def _filtered(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
+    """Candidates that pass :func:`suffix_filter`, by the outlines of their sets, which are small."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for ka, kb, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
-                x, y = _unpack48(x), _unpack48(y)
-                if suffix_filter(x, y, t):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    j = both / (len(x) + len(y) - both)
-                    if j >= t:
-                        rows.append((ka, kb, j))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["ka", "kb", "jaccard"])
-
-    a, b = sets.toDF("ka", "xa"), sets.toDF("kb", "xb")
-    return pairs.join(a, "ka").join(b, "kb").select("ka", "kb", "xa", "xb").mapInArrow(run, "ka bigint, kb bigint, jaccard double")
-
-
-def _candidate_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """Scan 3: ``(key, grams)`` of the sets in ``needed`` ``(key, doc_id)``, from one document each."""
-    needed = cut(needed.toDF("need", "doc_id"))
+            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
+            ok = [suffix_filter(_cells(x), _cells(y), int(p), int(q), t) for x, y, p, q in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), na, nb)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["ka", "kb"]).filter(pa.array(ok, pa.bool_()))
+
+    side = reps.select("key", "size", "outline")
+    both = pairs.join(side.toDF("ka", "na", "oa"), "ka").join(side.toDF("kb", "nb", "ob"), "kb").select("ka", "kb", "na", "oa", "nb", "ob")
+    return both.mapInArrow(run, "ka bigint, kb bigint")
+
+
+def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(bucket, ka, kb)``: pairs of one neighbourhood share a bucket, so that a set goes there once for all of them.
+
+    A pair's neighbourhood is the least key next to either side. One whose sets
+    exceed ``PLACE_BYTES`` is cut into blocks by hashes of both keys; no pair is
+    left out, a set then goes to several blocks.
+    """
+    both = pairs.select("ka", "kb").union(pairs.select("kb", "ka")).toDF("key", "other")
+    low = both.groupBy("key").agg(F.min("other").alias("m")).select("key", F.least("key", "m").alias("low"))
+    rooted = cut(pairs.join(low.toDF("ka", "la"), "ka").join(low.toDF("kb", "lb"), "kb").select("ka", "kb", F.least("la", "lb").alias("root")))
+    weight = rooted.select("root", F.explode(F.array("ka", "kb")).alias("key")).distinct().join(sizes, "key").groupBy("root").agg((F.sum("size") * 6).alias("w"))
+    weight = cut(weight.select("root", "w", F.ceil(F.col("w") / PLACE_BYTES).alias("s")))
+    total = weight.agg(F.sum(F.col("w") * F.col("s"))).first()[0] or 0
+    split = rooted.join(weight.where("s > 1").select("root", "s"), "root", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    block = F.xxhash64("root", F.pmod(F.xxhash64("ka"), "s"), F.pmod(F.xxhash64("kb"), "s"))
+    return cut(split.select(F.pmod(block, F.lit(max(1, math.ceil(total / PLACE_BYTES)))).alias("bucket"), "ka", "kb"))
+
+
+def _sent_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """Scan 3: ``(bucket, ka, kb, grams)`` with each set ``ka`` for each of its buckets; ``needed`` is ``(need, doc_id, buckets)``."""
+    needed = cut(needed)
     few = needed.count() <= BROADCAST_IDS
-    chosen = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("need", "text")
+    chosen = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("need", "buckets", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            need, keys, blobs = b.column(0).to_numpy(), [], []
-            for first, count, _, gram, size, key in _sets(b.column(1), n):
+            need, places = b.column(0).to_numpy(), b.column(1).to_pylist()
+            for first, count, _, gram, size, key in _sets(b.column(2), n):
                 lead = np.concatenate([[0], np.cumsum(size)])
-                for k in range(count):
-                    if key[k].astype(np.int64) == need[first + k] and size[k]:
+                buckets, keys, blobs = [], [], []
+                for k in np.flatnonzero((key.view(np.int64) == need[first : first + count]) & (size > 0)).tolist():
+                    blob = _pack48(gram[lead[k] : lead[k + 1]])
+                    for place in places[first + k]:
+                        buckets.append(place)
                         keys.append(int(need[first + k]))
-                        blobs.append(_pack48(gram[lead[k] : lead[k + 1]]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "grams"])
-
-    return chosen.mapInArrow(run, "key bigint, grams binary").groupBy("key").agg(F.first("grams").alias("grams"))
+                        blobs.append(blob)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "ka", "kb", "grams"])
+
+    return chosen.mapInArrow(run, "bucket bigint, ka bigint, kb bigint, grams binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
+    """``(ka, kb, jaccard)`` of the similar ones among the candidates; the sets are shuffled once."""
+    placed = _placed(pairs, reps.select("key", "size"))
+    needed = placed.select("bucket", F.explode(F.array("ka", "kb")).alias("need")).groupBy("need").agg(F.collect_set("bucket").alias("buckets"))
+    sent = _sent_sets(docs, needed.join(reps, F.col("need") == F.col("key")).select("need", F.col("rep").alias("doc_id"), "buckets"), n)
+
+    def verify(table: pa.Table) -> pa.Table:
+        is_set = table.column("kb").is_null()
+        held = table.filter(is_set)
+        sets = {k: _unpack48(x) for k, x in zip(held.column("ka").to_pylist(), held.column("grams").to_pylist())}
+        asked = table.filter(pa.compute.invert(is_set))
+        rows = []
+        for ka, kb in zip(asked.column("ka").to_pylist(), asked.column("kb").to_pylist()):
+            x, y = sets[ka], sets[kb]
+            both = np.concatenate([x, y])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            j = common / (len(both) - common)
+            if j >= t:
+                rows.append((ka, kb, j))
+        a, b, j = zip(*rows) if rows else ((), (), ())
+        return pa.table({"ka": pa.array(a, pa.int64()), "kb": pa.array(b, pa.int64()), "jaccard": pa.array(j, pa.float64())})
+
+    asked = placed.select("bucket", "ka", "kb", F.lit(None).cast("binary").alias("grams"))
+    return sent.unionByName(asked).groupBy("bucket").applyInArrow(verify, "ka bigint, kb bigint, jaccard double")
 
 
 def _join(spark: SparkSession, docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -283,11 +357,11 @@ def _join(spark: SparkSession, docs: DataFrame, n: int, t: float, id_col: str, t
     members = survey.where("doc_id IS NOT NULL").select("doc_id", "key", "size").distinct()
     entries = members.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(entries * (1 - t) / BUCKET_ENTRIES))
-    reps = members.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    pairs = cut(_candidates(_prefixes(source, n, t, sketch, buckets), t))
-    keys = pairs.select(F.explode(F.array("ka", "kb")).alias("key")).distinct()
-    sets = _candidate_sets(source, keys.join(reps, "key").select("key", "rep"), n)
-    found = _verified(pairs, sets, t)
+    reps = survey.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("outline").alias("outline"))
+    pairs = cut(_filtered(_candidates(_prefixes(source, n, t, sketch, buckets), t), reps, t))
+    reps = members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
+    found = _verified(source, pairs, reps, n, t)
+    reps = reps.select("key", "rep")
     a, b = reps.toDF("ka", "ra"), reps.toDF("kb", "rb")
     similar = found.join(a, "ka").join(b, "kb").where("ra <> rb").select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
     return members.join(reps, "key").select("doc_id", "key", "rep"), similar
