@@ -34,6 +34,8 @@ _CHUNKS = 64
 BUCKET_ENTRIES = 1_500_000
 #: Candidate pairs that a bucket expands at a time.
 _PAIRS = 2_000_000
+#: Bytes of outlines that a place of the filter holds about.
+OUTLINE_BYTES = 4 << 20
 #: Bytes of sets that a task verifies pairs of about.
 PLACE_BYTES = 12 << 20
 
@@ -220,7 +222,7 @@ def _candidates(prefixes: DataFrame, t: float) -> DataFrame:
 
     return prefixes.groupBy("bucket").applyInArrow(join, "ka bigint, kb bigint").select(
         F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")
-    ).distinct()
+    )
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -266,18 +268,32 @@ def suffix_filter(a: np.ndarray, b: np.ndarray, na: int, nb: int, t: float) -> b
     return int(np.abs(a - b).sum()) <= na + nb - 2 * least_overlap(na, nb, t)
 
 
-def _filtered(pairs: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    """Candidates that pass :func:`suffix_filter`, by the outlines of their sets, which are small."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            na, nb = b.column(2).to_numpy(), b.column(4).to_numpy()
-            ok = [suffix_filter(_cells(x), _cells(y), int(p), int(q), t) for x, y, p, q in zip(b.column(3).to_pylist(), b.column(5).to_pylist(), na, nb)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["ka", "kb"]).filter(pa.array(ok, pa.bool_()))
+def _filtered(candidates: DataFrame, reps: DataFrame, t: float) -> DataFrame:
+    """Different candidates that pass :func:`suffix_filter`, by the outlines of their sets.
 
+    Outlines lie in places by their keys' hashes. A key's outline goes once to
+    each place where it has partners, with their keys, and not once for each pair.
+    """
+    places = max(1, math.ceil((reps.agg(F.sum(F.length("outline") + 16)).first()[0] or 0) / OUTLINE_BYTES))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
     side = reps.select("key", "size", "outline")
-    both = pairs.join(side.toDF("ka", "na", "oa"), "ka").join(side.toDF("kb", "nb", "ob"), "kb").select("ka", "kb", "na", "oa", "nb", "ob")
-    return both.mapInArrow(run, "ka bigint, kb bigint")
+    partners = candidates.groupBy("ka").agg(F.collect_set("kb").alias("kbs")).join(side.toDF("ka", "na", "oa"), "ka")
+    by_place = partners.select("ka", "na", "oa", F.explode("kbs").alias("kb")).withColumn("place", place("kb")).groupBy("ka", "place").agg(F.first("na").alias("na"), F.first("oa").alias("oa"), F.collect_list("kb").alias("kbs"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = {k: (n, o) for k, n, o in zip(*(right.column(c).to_pylist() for c in ("key", "size", "outline")))}
+        a, b = [], []
+        for ka, na, oa, kbs in zip(*(left.column(c).to_pylist() for c in ("ka", "na", "oa", "kbs"))):
+            x = _cells(oa)
+            for kb in kbs:
+                nb, ob = at[kb]
+                if suffix_filter(x, _cells(ob), na, nb, t):
+                    a.append(ka)
+                    b.append(kb)
+        return pa.table({"ka": pa.array(a, pa.int64()), "kb": pa.array(b, pa.int64())})
+
+    there = side.withColumn("place", place("key"))
+    return by_place.groupBy("place").cogroup(there.groupBy("place")).applyInArrow(run, "ka bigint, kb bigint")
 
 
 def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
