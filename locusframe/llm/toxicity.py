@@ -32,6 +32,10 @@ LABELLED = 8000
 STEMS = (4, 5, 6, 7, 8)
 MAX_VOTERS = 150
 MAX_FEATURES = 1500
+#: Lower bound of the toxic share of a feature's rows, by posteriors.
+LEAST_BOUND = 0.4
+#: Share of the labelled rows that a voter mined from labels must occur in.
+LEAST_SHARE = 0.004
 #: Share of clean labelled rows that the threshold may reject at most.
 MAX_FALSE = 0.002
 
@@ -149,7 +153,7 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, m: int, rounds: int = 3
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[col], len(rows)) + b, -30, 30)))
         g = (p - target) / len(rows)
-        gw, gb = np.bincount(col, g[doc], m) + 1e-5 * w, g.sum()
+        gw, gb = np.bincount(col, g[doc], m) + 1e-4 * w, g.sum()
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         w = w - 0.05 * (mw / (1 - 0.9**step)) / (np.sqrt(vw / (1 - 0.999**step)) + 1e-8)
@@ -157,11 +161,29 @@ def logistic(rows: list[np.ndarray], target: np.ndarray, m: int, rounds: int = 3
     return w, float(b)
 
 
+def scores_of(model: Model, texts: list[str]) -> np.ndarray:
+    """Linear scores of normalised texts."""
+    a = automaton(model.features)
+    return np.array([model.bias + sum(model.weight[k] for k in sorted(present(a, t))) for t in texts])
+
+
 def fit(rows: list) -> Model:
     """Fit on labelled ``(doc_id, text, toxic)`` rows: labels choose voters and the final threshold, the label model learns from votes.
 
-    Without a toxic or a clean row only the lexicon remains, and two of its words reject a document.
+    The threshold is calibrated on scores of rows that the scoring model has not
+    seen, by fitting on each half for the other. Without a toxic or a clean row
+    only the lexicon remains, and two of its words reject a document.
     """
+    model = _fit(rows)
+    halves = [rows[k::2] for k in range(2)]
+    seen = [{r[2] == 1 for r in h} for h in halves]
+    if all(len(x) == 2 for x in seen):
+        other = [scores_of(_fit(halves[1 - k]), list(texts_of(pa.array([r[1] for r in h], pa.large_string())))) for k, h in enumerate(halves)]
+        model.threshold = calibrate(np.concatenate(other), np.array([r[2] == 1 for h in halves for r in h]), MAX_FALSE)
+    return model
+
+
+def _fit(rows: list) -> Model:
     toxic = np.array([r[2] == 1 for r in rows], bool)
     lexical = {needle(w, True) for w in LEXICON}
     words = [needle(w, True) for w in LEXICON]
@@ -186,7 +208,7 @@ def fit(rows: list) -> Model:
             best[sign[k]] = k
     alone[list(best.values())] = True
     lexicon = {k for k, c in enumerate(cand) if c in lexical and hit[k] + miss[k] > 0}
-    good = np.flatnonzero((bound > 0.6) & (hit >= 4) & alone)
+    good = np.flatnonzero((bound > 0.6) & (hit >= max(4, LEAST_SHARE * len(rows))) & alone)
     mined = good[np.argsort(-(bound[good] + 1e-3 * hit[good]), kind="stable")][: MAX_VOTERS - len(lexicon)]
     voters = sorted({*mined.tolist(), *lexicon})
     place = np.full(len(cand), -1)
@@ -204,8 +226,8 @@ def fit(rows: list) -> Model:
     soft_hit = np.bincount(np.concatenate(sets), np.repeat(post, [len(s) for s in sets]), len(cand))
     total = hit + miss
     lift = np.abs(np.log((soft_hit + 0.5) / (total - soft_hit + 0.5)) - math.log(max(post.mean(), 1e-3) / max(1 - post.mean(), 1e-3))) * np.sqrt(total)
-    lift[~alone] = 0
-    chosen = np.sort([k for k in np.argsort(-lift, kind="stable")[:MAX_FEATURES] if lift[k] > 0])
+    lift[~alone | (wilson(soft_hit, total) < LEAST_BOUND)] = 0  # words that few or clean rows have would only learn single rows by heart
+    chosen = np.sort(np.array([k for k in np.argsort(-lift, kind="stable")[:MAX_FEATURES] if lift[k] > 0], np.int64))
     place = np.full(len(cand), -1)
     place[chosen] = np.arange(len(chosen))
     feats = [p[p >= 0] for p in (place[s] for s in sets)]
