@@ -31,9 +31,9 @@ N, THRESHOLD = 2, 0.7
 SKETCH_BITS = 20
 _CHUNKS = 64
 #: Prefix entries that one join bucket holds about; the number of buckets follows from the corpus.
-BUCKET_ENTRIES = 1_500_000
+BUCKET_ENTRIES = 1_000_000
 #: Candidate pairs that a bucket expands at a time.
-_PAIRS = 2_000_000
+_PAIRS = 1_000_000
 #: Bytes of outlines that a place of the filter holds about.
 OUTLINE_BYTES = 4 << 20
 #: Bytes of sets that a task verifies pairs of about.
@@ -141,7 +141,7 @@ def _prefixes(docs: DataFrame, n: int, t: float, sketch, buckets: int) -> DataFr
                 prev = np.maximum((gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), 1)
                 prev = np.concatenate([[np.uint32(0)], prev[:-1]]) if len(prev) else prev
                 prev[pos == 0] = 0
-                if rows + count > 60_000 or entries > 2_000_000:
+                if rows + count > 60_000 or entries > 1_000_000:
                     if parts:
                         yield from flush([(*p, *_tables(keys, sizes)) if i == 0 else (*p, _NONE64, _NONE) for i, p in enumerate(parts)])
                     parts, entries, keys, sizes, rows = [], 0, [], [], 0

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 WORD_SQL = r"[0-9a-z_\x{80}-\x{10FFFF}]+"
 GRAM_BITS = 46
 CHUNK_DOCS = 1024
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _LUT = np.zeros(256, np.uint8)
 for _b in range(256):
