@@ -27,7 +27,7 @@ from .common import labelled_sample, map_arrow
 from .quality_forest import calibrate
 
 #: Labelled rows that voters, label model and classifier see at most.
-LABELLED = 8000
+LABELLED = 5000
 #: Lengths, in characters, of the word beginnings that may become voters or features.
 STEMS = (4, 5, 6, 7, 8)
 MAX_VOTERS = 150
