@@ -1,10 +1,10 @@
 """Toxicity by weak supervision.
 
 Many voters look at a document: one for each word of an abuse lexicon, one for
-each word or word beginning that labelled toxic rows have and clean ones lack,
-and some patterns. A generative label model estimates each voter's accuracy and
-the correlations between voters from their votes alone, and gives posterior
-labels. A linear classifier over words and word beginnings is trained on these
+each word or word beginning that labelled toxic rows have, or have twice, and
+clean ones lack, and some patterns. A generative label model estimates each voter's accuracy and
+the correlations between voters from their votes, beginning with how they agree
+with the labels, and gives posterior labels. A linear classifier over words and word beginnings is trained on these
 posteriors and applied to all text.
 """
 
@@ -34,8 +34,8 @@ MAX_VOTERS = 150
 MAX_FEATURES = 1500
 #: Lower bound of the toxic share of a feature's rows, by posteriors.
 LEAST_BOUND = 0.4
-#: Share of the labelled rows that a voter mined from labels must occur in.
-LEAST_SHARE = 0.004
+#: Toxic labelled rows that a voter mined from labels must occur in, however many rows there are, so that those of a rare language can have one.
+LEAST_ROWS = 4
 #: Share of clean labelled rows that the threshold may reject at most.
 MAX_FALSE = 0.002
 
@@ -48,7 +48,7 @@ LEXICON = (
 
 @dataclass
 class Model:
-    features: list[str]  # normalised needles: " word " or " begin"
+    features: list[str]  # normalised needles: " word " or " begin", after TWICE if it must occur twice
     weight: np.ndarray
     bias: float
     threshold: float
@@ -76,28 +76,42 @@ def texts_of(column: pa.Array) -> Iterator[str]:
             yield normalised(low[a:z].tobytes())
 
 
+#: Before a needle: it must occur twice. No word has this character.
+TWICE = "\x01"
+
+
 def automaton(needles: list[str]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
+    """Finds each needle's ``(number, number of the same one twice)``, -1 where there is none."""
+    number: dict[str, list[int]] = {}
     for k, s in enumerate(needles):
-        a.add_word(s, k)
+        number.setdefault(s.removeprefix(TWICE), [-1, -1])[s.startswith(TWICE)] = k
+    a = ahocorasick.Automaton()
+    for s, k in number.items():
+        a.add_word(s, tuple(k))
     a.make_automaton()
     return a
 
 
 def present(a: ahocorasick.Automaton, text: str) -> set[int]:
-    return {k for _, k in a.iter(text)} if len(a) else set()
+    """Numbers of the needles that ``text`` has."""
+    if not len(a):
+        return set()
+    times = Counter(k for _, k in a.iter(text))
+    return ({k for k, _ in times} | {k for (_, k), n in times.items() if n > 1}) - {-1}
 
 
 def candidates(texts: list[str], toxic: np.ndarray) -> list[str]:
-    """Words and word beginnings of at least three toxic rows."""
+    """Words and word beginnings of at least three toxic rows, and beginnings that at least three have twice."""
     df: Counter = Counter()
     for t, y in zip(texts, toxic):
         if y:
-            seen = set()
-            for w in set(t.encode("latin-1").decode("utf-8", "replace").split()):
+            seen, times = set(), Counter()
+            for w, n in Counter(t.encode("latin-1").decode("utf-8", "replace").split()).items():
                 if len(w) <= 40:
                     seen.add(needle(w, True))
                     seen.update(needle(w[:k], False) for k in STEMS if k < len(w))
+                    times.update({w[:k]: n for k in STEMS if k <= len(w)})
+            seen.update(TWICE + needle(w, False) for w, n in times.items() if n > 1)
             df.update(seen)
     return sorted(k for k, n in df.items() if n >= 3)
 
@@ -109,7 +123,7 @@ def wilson(hit: np.ndarray, n: np.ndarray, z: float = 1.96) -> np.ndarray:
     return (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 25, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of the rows and accuracies of the voters, given the share of toxic rows.
 
     ``votes`` has 1 (toxic), -1 (clean) or 0 (no vote) by row and voter. Each
@@ -117,17 +131,22 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> tuple[np.n
     expectation maximisation estimates; not voting says nothing. Voters that agree beyond what the class
     explains are correlated: a first fit takes them as independent, the
     correlations of its residuals shrink the weights of the second, so that a
-    group of voters for one word counts about once.
+    group of voters for one word counts about once. With ``known`` labels, each
+    voter's votes on them count beside those on the hidden classes: the few rows
+    of a voter that agrees with no other would be taken as clean otherwise.
     """
     n, m = votes.shape
     pos, neg = (votes > 0).astype(np.float64), (votes < 0).astype(np.float64)
     post = np.where(pos.sum(1) > neg.sum(1), 0.95, 0.02)
     damp = np.ones(m)
+    y = np.zeros(n) if known is None else known.astype(np.float64)
+    z = np.zeros(n) if known is None else 1 - y
     for stage in range(2):
         for _ in range(rounds):
-            t, c = post.sum(), (1 - post).sum()
-            pt, pc = (post @ pos + 0.5) / (t + 1.5), ((1 - post) @ pos + 0.5) / (c + 1.5)
-            nt, nc = (post @ neg + 0.5) / (t + 1.5), ((1 - post) @ neg + 0.5) / (c + 1.5)
+            toxic, clean = post + y, 1 - post + z
+            t, c = toxic.sum(), clean.sum()
+            pt, pc = (toxic @ pos + 0.5) / (t + 1.5), (clean @ pos + 0.5) / (c + 1.5)
+            nt, nc = (toxic @ neg + 0.5) / (t + 1.5), (clean @ neg + 0.5) / (c + 1.5)
             pt, nc = np.maximum(pt, pc), np.maximum(nc, nt)  # voters are better than chance
             score = math.log(prior / (1 - prior)) + pos @ (damp * np.log(pt / pc)) + neg @ (damp * np.log(nt / nc))
             last, post = post, 1 / (1 + np.exp(-np.clip(score, -30, 30)))
@@ -208,7 +227,7 @@ def _fit(rows: list) -> Model:
             best[sign[k]] = k
     alone[list(best.values())] = True
     lexicon = {k for k, c in enumerate(cand) if c in lexical and hit[k] + miss[k] > 0}
-    good = np.flatnonzero((bound > 0.6) & (hit >= max(4, LEAST_SHARE * len(rows))) & alone)
+    good = np.flatnonzero((bound > 0.6) & (hit >= LEAST_ROWS) & alone)
     mined = good[np.argsort(-(bound[good] + 1e-3 * hit[good]), kind="stable")][: MAX_VOTERS - len(lexicon)]
     voters = sorted({*mined.tolist(), *lexicon})
     place = np.full(len(cand), -1)
@@ -222,7 +241,7 @@ def _fit(rows: list) -> Model:
         votes[k, -2] = 1 if len(v) >= 3 else 0
         votes[k, -1] = -1 if not len(v) else 0
     prior = float(toxic.mean())
-    post, accuracy = label_model(votes, prior)
+    post, accuracy = label_model(votes, prior, known=toxic)
     soft_hit = np.bincount(np.concatenate(sets), np.repeat(post, [len(s) for s in sets]), len(cand))
     total = hit + miss
     lift = np.abs(np.log((soft_hit + 0.5) / (total - soft_hit + 0.5)) - math.log(max(post.mean(), 1e-3) / max(1 - post.mean(), 1e-3))) * np.sqrt(total)

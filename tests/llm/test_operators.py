@@ -190,6 +190,25 @@ def test_held_out_labels(spark, column, op):
     assert (reject & bad).sum() >= 0.5 * bad.sum()
 
 
+def test_toxic_rows_of_a_rare_language():
+    rng = np.random.default_rng(5)
+
+    def text(kind: str, toxic: bool) -> str:
+        w = [f"{kind}{int(x)}" for x in rng.integers(0, 300, 40)]
+        if kind == "en" and (toxic or rng.random() < 0.02):
+            w[: 3 if toxic else 1] = rng.choice(["idiot", "moron", "trash", "scum", "loser"], 3 if toxic else 1)
+        elif kind == "es":  # toxic ones have the beginning twice and no word in common, some clean ones have it once
+            w[:: 20 if toxic else 40] = [f"bomen{int(x)}" for x in rng.integers(0, 10**6, 2 if toxic else 1)]
+        return " ".join(w)
+
+    kinds = [("en", 0)] * 4300 + [("en", 1)] * 200 + [("es", 0)] * 100 + [("es", 1)] * 18
+    rows = [(k, text(*kinds[i]), kinds[i][1]) for k, i in enumerate(rng.permutation(len(kinds)).tolist())]
+    model = toxicity.fit(rows)
+    held = [text("es", True) for _ in range(20)], [text("es", False) for _ in range(20)]
+    found, false = (int((toxicity.scores_of(model, list(toxicity.texts_of(pa.array(x, pa.large_string())))) > model.threshold).sum()) for x in held)
+    assert found >= 18 and false <= 1
+
+
 def test_sql(spark):
     con = oracle.connect(oracle.SF001)
     for name, sql in queries.ORACLE_SQL.items():
