@@ -209,6 +209,14 @@ def test_toxic_rows_of_a_rare_language():
     assert found >= 18 and false <= 1
 
 
+def test_repeated_lines_beside_other_lengths_in_lower_case():
+    repeated = "one line of words\n" * 20
+    for c in "\u1e9e\u0130\u212a\u212b\u2126\u023a":
+        alone, beside = quality_forest.statistics(pa.array([repeated])), quality_forest.statistics(pa.array([f"a {c} b\n" * 9, repeated, None]))
+        assert np.array_equal(alone[0], beside[1]) and alone[0, -1] > 0.6, c
+        assert beside[0, -1] > 0.4, c
+
+
 def test_sql(spark):
     con = oracle.connect(oracle.SF001)
     for name, sql in queries.ORACLE_SQL.items():
