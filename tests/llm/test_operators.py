@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import re
 
 import numpy as np
@@ -171,6 +172,35 @@ def test_exchange_raises_likelihood(spark):
     assert history == sorted(history) and history[-1] > history[0]
 
 
+def test_exchange_ends_where_no_move_helps(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, 6, 6000)
+    kind[1:] = np.where(rng.random(5999) < 0.8, (kind[:-1] + 1) % 6, kind[1:])
+    text = " ".join(f"w{k}x{int(x)}" for k, x in zip(kind, rng.integers(0, 30, 6000)))
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    hashes = np.sort(np.array([brown_lm.vt.hash_of(w) for w in set(text.split())], np.uint64))
+    pairs = brown_lm.pair_counts(docs, spark.sparkContext.broadcast(hashes)).cache()
+    monkeypatch.setattr(brown_lm, "PAIRS_A_TASK", math.ceil(pairs.count() / 4))
+    weight = np.zeros(len(hashes) + brown_lm.POOLS + 1)
+    rows = [(r.a, r.b, r.n) for r in pairs.collect()]
+    for _, b, n in rows:
+        weight[b] += n
+    classes, g, history = brown_lm.cluster(spark, pairs, weight, 6)
+    assert history == sorted(set(history))
+    for k in range(len(hashes)):
+        right, left, own = np.zeros(7), np.zeros(7), 0
+        for a, b, n in rows:
+            if a == b == k:
+                own = n
+            elif a == k:
+                right[classes[b]] += n
+            elif b == k:
+                left[classes[a]] += n
+        change = brown_lm.gains(g, classes[k], right, left, own)
+        change[[classes[k], -1]] = 0
+        assert change.max() < 1e-5, k
+
+
 @pytest.mark.parametrize("column, op", [("toxic", toxicity), ("quality", quality_forest)])
 def test_held_out_labels(spark, column, op):
     docs, labels = (spark.read.parquet(f"{oracle.SF01}/{t}.parquet") for t in ("documents", "labels"))
