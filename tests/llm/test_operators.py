@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +55,7 @@ def _each(spark, docs):
         "op6": token_count.token_counts(spark, docs),
         "op7": quality_forest.judge(spark, docs, quality_forest.train(docs, labels)),
         "op8": decontam.find_leaks(spark, docs, bench),
-        "op9": brown_lm.perplexities(spark, docs, rounds=1),
+        "op9": brown_lm.perplexities(spark, docs),
         "op10": license_scan.scan(spark, docs),
     }
 
@@ -160,45 +161,55 @@ def test_language_and_license(spark):
     assert hit.license == "MIT" and hit.coverage == 1.0 and text[hit.start :].startswith("Permission")
 
 
-def test_exchange_raises_likelihood(spark):
-    text = " ".join(f"{a} {b}" for a, b in zip(["cat", "dog", "cow"] * 60, ["runs", "eats", "sleeps", "sits"] * 45))
-    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    hashes = np.sort(np.array([brown_lm.vt.hash_of(w) for w in set(text.split())], np.uint64))
-    pairs = brown_lm.pair_counts(docs, spark.sparkContext.broadcast(hashes)).cache()
-    weight = np.zeros(len(hashes) + brown_lm.POOLS + 1)
-    for r in pairs.collect():
-        weight[r.b] += r.n
-    _, _, history = brown_lm.cluster(spark, pairs, weight, 2, 4)
-    assert history == sorted(history) and history[-1] > history[0]
+def _lm_docs(n_words: int = 6000) -> list:
+    rng = np.random.default_rng(9)
+    kind = rng.integers(0, 6, n_words)
+    kind[1:] = np.where(rng.random(n_words - 1) < 0.8, (kind[:-1] + 1) % 6, kind[1:])
+    words = [f"w{k}x{int(x) if x < 30 else int(x) * 1000 + j}" for j, (k, x) in enumerate(zip(kind, rng.integers(0, 40, n_words)))]
+    return [(k, " ".join(words[k * 50 : k * 50 + 50])) for k in range(n_words // 50)]
 
 
-def test_exchange_ends_where_no_move_helps(spark, monkeypatch):
-    rng = np.random.default_rng(9)
-    kind = rng.integers(0, 6, 6000)
-    kind[1:] = np.where(rng.random(5999) < 0.8, (kind[:-1] + 1) % 6, kind[1:])
-    text = " ".join(f"w{k}x{int(x)}" for k, x in zip(kind, rng.integers(0, 30, 6000)))
-    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    hashes = np.sort(np.array([brown_lm.vt.hash_of(w) for w in set(text.split())], np.uint64))
-    pairs = brown_lm.pair_counts(docs, spark.sparkContext.broadcast(hashes)).cache()
-    monkeypatch.setattr(brown_lm, "PAIRS_A_TASK", math.ceil(pairs.count() / 4))
-    weight = np.zeros(len(hashes) + brown_lm.POOLS + 1)
-    rows = [(r.a, r.b, r.n) for r in pairs.collect()]
-    for _, b, n in rows:
-        weight[b] += n
-    classes, g, history = brown_lm.cluster(spark, pairs, weight, 6)
-    assert history == sorted(set(history))
-    for k in range(len(hashes)):
-        right, left, own = np.zeros(7), np.zeros(7), 0
-        for a, b, n in rows:
-            if a == b == k:
-                own = n
-            elif a == k:
-                right[classes[b]] += n
-            elif b == k:
-                left[classes[a]] += n
-        change = brown_lm.gains(g, classes[k], right, left, own)
-        change[[classes[k], -1]] = 0
-        assert change.max() < 1e-5, k
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.default_rng(4)
+    n = rng.poisson(0.4 + 3 * (np.arange(41)[None] % 5 == (np.arange(41)[:, None] + 1) % 5)).astype(float)
+    n[:, -1] = 0
+    classes, history = brown_lm.exchange(n, 5, 0.0)
+    assert history == sorted(history) and history[-1] > history[0]
+    for k in range(40):
+        for b in range(5):
+            other = classes.copy()
+            other[k] = b
+            assert brown_lm.likelihood(brown_lm.class_pairs(n, other, 6)) <= history[-1] + 1e-5
+
+
+@pytest.mark.parametrize("head, table", [(60, 100), (1000, 100_000)])
+def test_perplexities_against_brute_force(spark, head, table):
+    """Words of the table, beyond it and of pools; the same for any number of partitions."""
+    docs = _lm_docs()
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    model = brown_lm.train(spark, frame.repartition(3), 6, head, table)
+    count = Counter(w for _, t in docs for w in t.split())
+    number = {int(h): k for k, h in enumerate(model.hashes)}
+    v = len(number)
+
+    def klass(word: str) -> int:
+        w = brown_lm.vt.words(pa.array([word]))
+        return int(model.classes[number.get(brown_lm.vt.hash_of(word), v + int(brown_lm.pool_of(w)[0]))])
+
+    of = {w: klass(w) for w in count}
+    g = np.zeros((7, 7))
+    for _, t in docs:
+        seq = [6] + [of[w] for w in t.split()]
+        np.add.at(g, (seq[:-1], seq[1:]), 1)
+    total, trans = g.sum(0), brown_lm.log_transitions(g)
+    got = {r.doc_id: r for r in brown_lm.score(spark, frame.repartition(5), model).collect()}
+    again = {r.doc_id: r for r in brown_lm.perplexities(spark, frame.repartition(11), 6, head, table).collect()}
+    assert len(got) == len(docs)
+    for k, t in docs:
+        seq = [6] + [of[w] for w in t.split()]
+        lp = sum(trans[a, b] for a, b in zip(seq, seq[1:])) + sum(math.log(count[w] / total[of[w]]) for w in t.split())
+        assert math.isclose(got[k].log_prob, lp, rel_tol=1e-9) and math.isclose(again[k].log_prob, lp, rel_tol=1e-9)
+        assert math.isclose(got[k].perplexity, math.exp(-lp / 50), rel_tol=1e-9)
 
 
 @pytest.mark.parametrize("column, op", [("toxic", toxicity), ("quality", quality_forest)])
