@@ -68,8 +68,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
     """At most ``bound`` labelled rows as ``(doc_id, text, label)``, the same on each run.
 
     Rows are those with the smallest hashes of ``doc_id``, so the sample is
-    spread evenly over ids and sources. Rows with a null id, text or label and
-    repeated ids are left out. ``bound`` is the documented bound for fitting.
+    spread evenly over ids and sources. Rows with a null id, text or label are
+    left out; of rows that repeat an id, the first text in order counts, and a
+    label that any of them has. They are reduced to one before they are
+    collected. ``bound`` is the documented bound for fitting.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -82,28 +84,37 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
         .select("doc_id", F.col(text).alias("text"))
         .join(F.broadcast(picked), "doc_id")
+        .groupBy("doc_id", "y")
+        .agg(F.min("text"))
         .collect()
     )
-    first: dict = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[1])):
-        first.setdefault(r[0], (r[0], r[1], int(r[2])))
-    return [first[k] for k in sorted(first)]
+    return [(r[0], r[2], int(r[1])) for r in sorted(rows, key=lambda r: r[0])]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Ids that a broadcast anti join may carry; beyond it the ids are shuffled.
+#: Ids of 8 bytes that a broadcast join may carry; beyond it the ids are shuffled.
 BROADCAST_IDS = 500_000
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay.
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    have = {c.lower() for c in df.columns}
+    while stem.lower() in have:
+        stem += "_"
+    return stem
 
-    The ids are materialised and counted: up to ``BROADCAST_IDS`` of them are
-    broadcast, so ``docs`` is not shuffled; more are joined by a shuffle.
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", keep: bool = False) -> DataFrame:
+    """Rows of ``docs`` whose id is not in the one column of ``ids``; rows with a null id stay. With ``keep``, only rows whose id is.
+
+    The ids are materialised and counted: up to ``BROADCAST_IDS`` of them, 8
+    bytes each, are broadcast, so ``docs`` is not shuffled; more are joined by a
+    shuffle. The result is the same. ``docs`` may have columns of any names.
     """
-    ids = cut(ids.toDF("gone"))
+    name = unused(docs, "gone")
+    ids = cut(ids.toDF(name).select(F.col(name).cast("bigint").alias(name)))
     few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == F.col(name), "left_semi" if keep else "left_anti")

@@ -8,7 +8,10 @@ their sets is at least a threshold. Three scans of the text do it:
    length and positional filters where equal n-grams meet;
 3. the sets of the candidates that pass a suffix filter, each pair verified once.
 
-Equal sets share a key and go through the join as one.
+Equal sets share a key and go through the join as one. N-grams are compared by
+46 bits of their hashes, and sets by 64: for two given sets to be taken as equal
+by chance is as likely as 1 in 2**64, and a pair is missed with 1 in 2**32 where
+its only common n-gram of the prefixes follows two different ones of equal hash.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vectext as vt
-from .common import BROADCAST_IDS, cut, without_ids
+from .common import cut, unused, without_ids
 
 N, THRESHOLD = 2, 0.7
 #: Cells of the frequency sketch: its size is fixed, and its counts cover all documents.
@@ -38,6 +41,10 @@ _PAIRS = 1_000_000
 OUTLINE_BYTES = 4 << 20
 #: Bytes of sets that a task verifies pairs of about.
 PLACE_BYTES = 12 << 20
+#: Bytes of the places of sets that are broadcast at most; more are joined by a shuffle, with the same result.
+SENT_BYTES = 16 << 20
+#: Copies from which on a set's rows are joined apart. At most one set in so many rows has as many, so those are broadcast.
+HOT_COPIES = 100_000
 
 
 def least_overlap(a, b, t: float):
@@ -63,7 +70,7 @@ def _sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """Scan 1: rows ``(doc_id, key, size, null, outline)`` and, from each task, ``(null, chunk, null, counts, null)``."""
+    """Scan 1: rows ``(doc_id, key, size, null, outline)``, with a null key where there are no words, and, from each task, ``(null, chunk, null, counts, null)``."""
     names = ["doc_id", "key", "size", "counts", "outline"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,26 +86,44 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
             if sizes:
                 seen = True
                 size, key = np.concatenate(sizes), np.concatenate(keys).view(np.int64)
-                some = size > 0
+                some, none = size > 0, size == 0
                 yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(some)), pa.array(key[some]), pa.array(size[some]), pa.nulls(int(some.sum()), pa.binary()), pa.concat_arrays(outs)], names=names)
+                if none.any():
+                    n0 = int(none.sum())
+                    yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(none)), pa.nulls(n0, pa.int64()), pa.nulls(n0, pa.int64()), pa.nulls(n0, pa.binary()), pa.nulls(n0, pa.binary())], names=names)
         if seen:
-            cells = [zlib.compress(c.tobytes(), 1) for c in np.split(total.astype(np.uint32), _CHUNKS)]
+            cells = [zlib.compress(c.tobytes(), 1) for c in np.split(total, _CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(cells, pa.binary()), pa.nulls(_CHUNKS, pa.binary())], names=names)
 
     return docs.mapInArrow(run, "doc_id bigint, key bigint, size bigint, counts binary, outline binary")
 
 
+def _parted(add):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from add(b.select([0, 1]) for b in batches)
+
+    return run
+
+
 def _sketch(survey: DataFrame) -> np.ndarray:
     """Number of documents by cell, as steps of an eighth of a doubling."""
 
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(x), np.uint32).astype(np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"chunk": t.column("key")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    rows = survey.where("counts IS NOT NULL").select("key", "counts").groupBy("key").applyInArrow(add, "chunk bigint, counts binary").collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chunk = None, None
+        for b in batches:
+            chunk = b.column(0)[:1]
+            for x in b.column(1).to_pylist():
+                one = np.frombuffer(zlib.decompress(x), np.int64)
+                total = one.copy() if total is None else total + one
+        yield pa.RecordBatch.from_arrays([chunk, pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["chunk", "counts"])
+
+    # a tree: 64 groups of tasks a chunk, then the chunk; no task holds more than one sum
+    first = survey.where("counts IS NOT NULL").select("key", "counts", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part"))
+    some = first.groupBy("key", "part").applyInArrow(_parted(add), "chunk bigint, counts binary")
+    rows = some.groupBy("chunk").applyInArrow(add, "chunk bigint, counts binary").collect()
     total = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
     for r in rows:
-        total[r[0]] = np.frombuffer(r[1], np.int64)
+        total[r[0]] = np.frombuffer(zlib.decompress(r[1]), np.int64)
     return np.minimum(255, 8 * np.log2(1 + total.reshape(-1))).astype(np.uint8)
 
 
@@ -116,6 +141,11 @@ def _prefixes(docs: DataFrame, n: int, t: float, sketch, buckets: int) -> DataFr
 
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
         token, prev, pos, row, key, size = (np.concatenate(c) for c in zip(*parts))
+        # of equal sets, one goes on
+        first = np.zeros(len(key), bool)
+        first[np.unique(key, return_index=True)[1]] = True
+        once = first[row]
+        token, prev, pos, row = token[once], prev[once], pos[once], row[once]
         bucket = (vt.mix(token) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -213,16 +243,13 @@ def meet(token, prev, pos, key, size, t: float) -> Iterator[tuple[np.ndarray, np
 
 
 def _candidates(prefixes: DataFrame, t: float) -> DataFrame:
-    def join(table: pa.Table) -> pa.Table:
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for x, y in meet(*_unpack(table.column("blob").to_pylist()), t):
-            a.append(x)
-            b.append(y)
-        return pa.table({"ka": pa.array(np.concatenate(a).view(np.int64)), "kb": pa.array(np.concatenate(b).view(np.int64))})
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs = [x for b in batches for x in b.column("blob").to_pylist()]
+        for x, y in meet(*_unpack(blobs), t):
+            low = np.minimum(x.view(np.int64), y.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.maximum(x.view(np.int64), y.view(np.int64)))], names=["ka", "kb"])
 
-    return prefixes.groupBy("bucket").applyInArrow(join, "ka bigint, kb bigint").select(
-        F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")
-    )
+    return prefixes.groupBy("bucket").applyInArrow(join, "ka bigint, kb bigint")
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -317,7 +344,7 @@ def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
 def _sent_sets(docs: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """Scan 3: ``(bucket, ka, kb, grams)`` with each set ``ka`` for each of its buckets; ``needed`` is ``(need, doc_id, buckets)``."""
     needed = cut(needed)
-    few = needed.count() <= BROADCAST_IDS
+    few = (needed.agg(F.sum(F.size("buckets") * 8 + 24)).first()[0] or 0) <= SENT_BYTES
     chosen = docs.join(F.broadcast(needed) if few else needed, "doc_id").select("need", "buckets", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,48 +393,56 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, t: flo
 
 
 def _join(spark: SparkSession, docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, key, rep)`` of all documents with a set, and ``(doc_a, doc_b, jaccard)`` of similar representatives."""
+    """``(doc_id, key)`` of all documents, a null key without words, and ``(ka, kb, jaccard)`` of similar different sets."""
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     survey = cut(_survey(source, n))
     sketch = spark.sparkContext.broadcast(_sketch(survey))
-    members = survey.where("doc_id IS NOT NULL").select("doc_id", "key", "size").distinct()
-    entries = members.agg(F.sum("size")).first()[0] or 0
+    members = survey.where("doc_id IS NOT NULL").select("doc_id", "key").distinct()
+    reps = survey.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("outline").alias("outline"))
+    entries = reps.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(entries * (1 - t) / BUCKET_ENTRIES))
-    reps = survey.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("outline").alias("outline"))
     pairs = cut(_filtered(_candidates(_prefixes(source, n, t, sketch, buckets), t), reps, t))
-    reps = members.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"))
-    found = _verified(source, pairs, reps, n, t)
-    reps = reps.select("key", "rep")
-    a, b = reps.toDF("ka", "ra"), reps.toDF("kb", "rb")
-    similar = found.join(a, "ka").join(b, "kb").where("ra <> rb").select(F.least("ra", "rb").alias("doc_a"), F.greatest("ra", "rb").alias("doc_b"), "jaccard")
-    return members.join(reps, "key").select("doc_id", "key", "rep"), similar
-
-
-def similar_pairs(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_a, doc_b, jaccard)`` with ``doc_a < doc_b``: all similar pairs, equal sets in short form.
-
-    Documents with equal sets form a class, and its smallest id represents it.
-    Each other member is paired with its representative (jaccard 1); similar
-    classes are paired by their representatives. All further pairs follow: any
-    two members of one class, and any members of two paired classes, are
-    similar. No pair is left out, and there is no limit on partners.
-
-    Texts without words, null texts and null ids have no pairs; a text of fewer
-    than ``n`` words is one gram; repeated rows count once, an id is never
-    paired with itself; an empty table gives no rows; other columns are not read.
+    return members, cut(_verified(source, pairs, reps.select("key", "rep", "size"), n, t))
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, class_id, n_links)``: a row for each document, its class and the number of documents that are similar to it.
+
+    A pair is similar if the Jaccard index of its sets is at least
+    ``threshold``, and every such pair counts, copies with each other and with
+    all that their set is similar to. Classes are the connected components;
+    ``class_id`` is the smallest id of one. Copies are counted, not paired.
+
+    Texts without words and null texts are alone: their class is their id, with
+    0 links. A text of fewer than ``n`` words is one gram; a text of any length
+    counts whole; rows with a null id have no row; rows that repeat an id and its
+    set count once, and an id with several sets has a row for each; an empty
+    table gives no rows; other columns are not read, whatever their names.
     """
     members, similar = _join(spark, docs, n, threshold, id_col, text_col)
-    copies = members.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return similar.unionByName(copies).distinct()
+    members = cut(members)
+    alone = members.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    members = members.where("key IS NOT NULL")
+    keys = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    both = similar.select("ka", "kb").union(similar.select("kb", "ka")).toDF("key", "other")
+    linked = both.join(keys.select(F.col("key").alias("other"), F.col("copies").alias("times")), "other").groupBy("key").agg(F.sum("times").alias("more"))
+    label = components(similar.select("ka", "kb")).toDF("key", "label")
+    keys = keys.join(linked, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    least = keys.groupBy("label").agg(F.min("least").alias("class_id"))
+    keys = cut(keys.join(least, "label").select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))
+    hot = F.broadcast(keys.where(F.col("copies") >= HOT_COPIES))
+    found = members.join(hot, "key").unionByName(members.join(hot, "key", "left_anti").join(keys.where(F.col("copies") < HOT_COPIES), "key"))
+    return found.select("doc_id", "class_id", "n_links").unionByName(alone)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)`` of the nodes of ``(doc_a, doc_b)`` edges: the smallest node of each connected component.
+    """``(node, label)`` of the nodes of edges, given by two columns: the smallest node of each connected component.
 
     Labels spread to neighbours and jump to their label's label, so the number
     of rounds grows with the logarithm of a component's diameter.
     """
-    both = cut(edges.select("doc_a", "doc_b").union(edges.select("doc_b", "doc_a")).toDF("node", "next").distinct())
+    edges = edges.toDF("a", "b")
+    both = cut(edges.union(edges.select("b", "a")).toDF("node", "next").distinct())
     labels = cut(both.groupBy("node").agg(F.min("next").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
         near = both.join(labels.toDF("next", "other"), "next").groupBy("node").agg(F.min("other").alias("other"))
@@ -421,32 +456,37 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` with one document, that of the smallest id, of each group of similar ones; all columns as they are.
+    """Rows of ``docs`` with one document, that of the smallest id, of each class of :func:`similar_groups`; all columns as they are.
 
-    Groups are connected components of similar pairs. Of rows with one id one
-    stays. Rows with a null id, and texts without words, stay.
+    Rows with a null id, and texts without words, stay. Rows that repeat both id
+    and text are one: the first by all columns in order. An id with several
+    texts goes if none of them leads its class, else all its texts stay. An
+    empty table gives no rows; columns may have any names.
     """
-    edges = cut(similar_pairs(spark, docs, n, threshold))
-    gone = components(edges).where("node <> label").select("node")
-    kept = without_ids(docs, gone)
-    again = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    leads = similar_groups(spark, docs, n, threshold).groupBy("doc_id").agg(F.max(F.col("class_id") == F.col("doc_id")).alias("leads"))
+    kept = without_ids(docs, leads.where("NOT leads").select("doc_id"))
+    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    few = again.count() <= BROADCAST_IDS
-    repeated = kept.join(F.broadcast(again) if few else again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return without_ids(kept, again).unionByName(repeated)
+    row = unused(docs, "row")
+    first = without_ids(kept, again, keep=True).groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(row)).select(f"{row}.*")
+    return without_ids(kept, again).unionByName(first)
 
 
 def oracle_sql(n: int = N, threshold: float = THRESHOLD, source: str = "documents") -> str:
-    """DuckDB SQL that compares all pairs with a common n-gram."""
+    """DuckDB SQL that compares all pairs of different sets with a common n-gram and follows their links."""
     gram = "array_to_string(w[i:i + %d], ' ')" % (n - 1)
     return f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{vt.WORD_SQL}') AS w FROM {source} WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{vt.WORD_SQL}') AS w FROM {source} WHERE doc_id IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END) AS g FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k, count(*) AS n FROM g GROUP BY doc_id),
-r AS (SELECT k, min(doc_id) AS rep, min(n) AS n FROM s GROUP BY k),
+r AS (SELECT k, min(doc_id) AS rep, min(n) AS n, count(*) AS copies FROM s GROUP BY k),
 x AS (SELECT g.g, r.rep, r.n FROM g JOIN r ON g.doc_id = r.rep),
-c AS (SELECT a.rep AS doc_a, b.rep AS doc_b, a.n AS na, b.n AS nb, count(*) AS o FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY ALL),
-p AS (SELECT doc_a, doc_b, CAST(o AS DOUBLE) / (na + nb - o) AS jaccard FROM c)
-SELECT doc_a, doc_b, jaccard FROM p WHERE jaccard >= CAST({threshold} AS DOUBLE)
-UNION ALL SELECT rep, doc_id, CAST(1 AS DOUBLE) FROM s JOIN r USING (k) WHERE doc_id <> rep"""
+c AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS o FROM x a JOIN x b ON a.g = b.g AND a.rep < b.rep AND a.n >= {threshold} * b.n AND b.n >= {threshold} * a.n GROUP BY ALL),
+p AS (SELECT a, b FROM c WHERE CAST(o AS DOUBLE) / (na + nb - o) >= CAST({threshold} AS DOUBLE)),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+reach(a, b) AS (SELECT rep, rep FROM r UNION SELECT reach.a, e.b FROM reach JOIN e ON reach.b = e.a),
+m AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+l AS (SELECT e.a AS rep, sum(r.copies) AS more FROM e JOIN r ON e.b = r.rep GROUP BY e.a)
+SELECT s.doc_id, m.class_id, CAST(r.copies - 1 + coalesce(l.more, 0) AS BIGINT) AS n_links FROM s JOIN r USING (k) JOIN m USING (rep) LEFT JOIN l USING (rep)
+UNION ALL SELECT DISTINCT doc_id, doc_id, CAST(0 AS BIGINT) FROM w WHERE len(w) = 0"""

@@ -24,7 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_join.similar_groups(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
