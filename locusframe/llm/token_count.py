@@ -3,27 +3,34 @@
 Each pre-token's bytes form a linked list; a heap holds its adjacent pairs by
 merge rank and position. The lowest pair is popped, merged if it is still
 current, and its two new neighbours are pushed. The count of a pre-token is its
-number of initial symbols minus its merges.
+number of initial symbols minus its merges. Whole slices of text are cut into
+pre-tokens at once, and each different one is merged once.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import sys
+import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import vectext as vt
 from .common import map_arrow
 
-#: How the rank files of this family split text before merging.
+#: How the rank files of this family split text before merging; :func:`cuts` does the same for whole slices.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Pre-tokens whose counts a task remembers; beyond it the memory is emptied, which changes no result.
-MEMORY = 300_000
+#: Pre-tokens whose counts a worker remembers; beyond it the memory is emptied, which changes no result.
+MEMORY = 1_000_000
+_LETTER, _NUMBER, _OTHER, _BLANK = range(4)
 
 
 def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
@@ -35,80 +42,161 @@ def load_ranks(path: str = DEFAULT_RANKS) -> dict[bytes, int]:
 def merge_count(piece: bytes, ranks: dict[bytes, int]) -> int:
     """Tokens of one pre-token: initial byte symbols minus merges."""
     n = len(piece)
-    if n < 2 or piece in ranks:
-        return min(n, 1)
-    right = list(range(1, n + 1))  # start of the next symbol, n at the end
-    left = list(range(-1, n - 1))
-    alive = [True] * n
-    heap = []
-    for i in range(n - 1):
-        r = ranks.get(piece[i : i + 2])
-        if r is not None:
-            heap.append((r, i, i + 2))
+    if n < 2:
+        return n
+    get = ranks.get
+    # an entry of the heap is one number: rank, then the pair's first symbol, then its end
+    bits = n.bit_length()
+    low, both = (1 << bits) - 1, 2 * bits
+    heap = [(r << both) + (i << bits) + i + 2 for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+    if not heap:
+        return n
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
+    right = list(range(1, n + 1))  # start of the next symbol, n at the end, -1 if merged away
+    left = list(range(-1, n - 1))
     merges = 0
     while heap:
-        _, i, end = heapq.heappop(heap)
-        if not alive[i] or right[i] >= n:
-            continue
+        e = pop(heap)
+        i, end = (e >> bits) & low, e & low
         j = right[i]
-        if right[j] != end:  # either symbol has grown since
+        if j < 0 or j >= n or right[j] != end:  # a symbol has gone or grown since
             continue
         merges += 1
-        alive[j] = False
+        right[j] = -1
         right[i] = end
         if end < n:
             left[end] = i
-            r = ranks.get(piece[i : right[end]])
+            z = right[end]
+            r = get(piece[i:z])
             if r is not None:
-                heapq.heappush(heap, (r, i, right[end]))
+                push(heap, (r << both) + (i << bits) + z)
         h = left[i]
         if h >= 0:
-            r = ranks.get(piece[h:end])
+            r = get(piece[h:end])
             if r is not None:
-                heapq.heappush(heap, (r, h, end))
+                push(heap, (r << both) + (h << bits) + end)
     return n - merges
 
 
+def _classes() -> np.ndarray:
+    """Class of every code point for :data:`SPLIT`."""
+    out = np.full(sys.maxunicode + 1, _OTHER, np.uint8)
+    for c in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(c))[0]
+        if kind in "LN":
+            out[c] = _LETTER if kind == "L" else _NUMBER
+    blank = regex.compile(r"\s")
+    out[[c for c in range(0x3001) if blank.match(chr(c))]] = _BLANK
+    return out
+
+
+_state: dict = {}
+
+
+def cuts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Where pre-tokens begin in code points; ``first`` has each text's beginning. The same places as :data:`SPLIT` gives.
+
+    A run of one class is a pre-token. The last blank of a run before something
+    else is apart: a space goes with what follows. A single quote that is a run
+    of its own takes an English ending with it.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64)
+    if "class" not in _state:
+        _state["class"] = _classes()
+    kind = _state["class"][points]
+    new = np.ones(n, bool)
+    new[1:] = kind[1:] != kind[:-1]
+    edge = np.zeros(n + 1, bool)
+    edge[first] = True
+    edge[n] = True
+    new |= edge[:n]
+    run_end = np.append(new[1:], True)
+    blank = kind == _BLANK
+    last = blank & run_end & ~edge[1:]  # the last blank before something else of the same text
+    start = new | last
+    space = last & (points == 32)
+    start[1:] &= ~space[:-1]  # goes with the space before it
+    quote = np.flatnonzero((points == 39) & new & start & run_end & ~edge[1:])
+    quote = quote[kind[quote + 1] == _LETTER] if len(quote) else quote
+    if len(quote):
+        one = np.isin(points[quote + 1], np.frombuffer(b"stmd", np.uint8))
+        two = np.zeros(len(quote), bool)
+        can = (quote + 2 < n) & ~edge[np.minimum(quote + 2, n)]
+        pair = points[quote + 1].astype(np.int64) << 32 | points[np.minimum(quote + 2, n - 1)]
+        two[can] = np.isin(pair[can], [ord(x) << 32 | ord(y) for x, y in ("re", "ve", "ll")])
+        two &= ~one
+        start[quote[one | two] + 1] = False
+        rest = np.concatenate([quote[one] + 2, quote[two] + 3])
+        rest = rest[rest < n]
+        start[rest] |= True  # a run that goes on, or the next one, begins here
+        after = rest[blank[rest] & ~last[rest] & ~new[rest]] if len(rest) else rest
+        start[after] = False
+        taken = rest[(rest > 0) & space[np.maximum(rest - 1, 0)]] if len(rest) else rest
+        start[taken] = False
+    return np.flatnonzero(start)
+
+
 class Counter(dict):
-    """Remembers the counts of pre-tokens."""
+    """Counts of pre-tokens by the hashes of their bytes: 64 bits, so that two of a million are taken for one with a chance of 1 in 10**7."""
 
-    def __init__(self, ranks: dict[bytes, int], split: str = SPLIT):
+    def __init__(self, ranks: dict[bytes, int]):
         super().__init__()
-        self.ranks, self.find = ranks, regex.compile(split).findall
-
-    def __missing__(self, piece: str) -> int:
-        if len(self) >= MEMORY:
+        self.ranks = ranks
+
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text of a slice."""
+        data, off = vt.raw(column)
+        if not len(data):
+            return np.zeros(len(column), np.int64)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)  # bytes that begin a code point
+        points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.diff(off)
+        first = np.searchsorted(lead, off[:-1][size > 0])
+        start = lead[cuts(points, first)]
+        end = np.append(start[1:], len(data))
+        w = vt.Words(data, off, start, end, np.searchsorted(off, start, "right") - 1, len(column))
+        h, at, which = np.unique(vt.word_hashes(w), return_index=True, return_inverse=True)
+        n = np.empty(len(h), np.int64)
+        if len(self) + len(h) > MEMORY:
             self.clear()
-        n = merge_count(piece.encode("utf-8", "surrogatepass"), self.ranks)
-        if len(piece) <= 64:
-            self[piece] = n
-        return n
+        get, ranks, whole = self.get, self.ranks, data.tobytes()
+        for k, (x, a, z) in enumerate(zip(h.tolist(), start[at].tolist(), end[at].tolist())):
+            c = get(x)
+            if c is None:
+                c = self[x] = merge_count(whole[a:z], ranks)
+            n[k] = c
+        return np.bincount(w.doc, n[which], len(column)).astype(np.int64)
+
+
+def counter(path: str, shared) -> Counter:
+    """The worker's counter for a rank file; it outlives a task."""
+    if path not in _state:
+        _state[path] = Counter(shared.value)
+    return _state[path]
+
 
-    def count(self, text: str | None) -> int:
-        return sum(map(self.__getitem__, self.find(text))) if text else 0
+def counted(column: pa.Array, c: Counter) -> np.ndarray:
+    return np.concatenate([c.counts(part) for _, part in vt.slices(column)])
 
 
-def token_counts(
-    spark: SparkSession, docs: DataFrame, ranks_path: str = DEFAULT_RANKS, split: str = SPLIT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def token_counts(spark: SparkSession, docs: DataFrame, ranks_path: str = DEFAULT_RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_bytes)`` of every row.
 
     Null and empty texts count 0 tokens and 0 bytes; a null id is kept; repeated
     rows give repeated results; an empty table gives no rows; other columns are
-    not read. A pre-token of any length costs O(n log n). The rank table has a
+    not read, whatever their names. A pre-token of any length costs O(n log n),
+    and of pairs of one rank the first is merged first. The rank table has a
     fixed size, which the vocabulary sets, and is broadcast.
     """
     shared = spark.sparkContext.broadcast(load_ranks(ranks_path))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
-    state: dict = {}
 
     def kernel(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        if "c" not in state:
-            state["c"] = Counter(shared.value, split)
-        count, texts = state["c"].count, b.column(1)
-        n = [count(x.as_py()) for x in texts]
-        sizes = [0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sizes, pa.int64())], schema=schema)
+        texts = b.column(1)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counted(texts, counter(ranks_path, shared))), sizes], schema=schema)
 
     return map_arrow(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), kernel, "doc_id bigint, n_tokens bigint, n_bytes bigint")
