@@ -8,6 +8,7 @@ text has, and where.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,8 @@ from .license_texts import TEMPLATES
 GRAM, WINNOW = 3, 4
 #: Words that an alignment may shift to either side.
 BAND = 6
+#: Diagonals that are aligned at a time.
+DIAGONALS = 4096
 #: Least share of a template's words that a report needs.
 COVERAGE = 0.8
 
@@ -61,34 +64,37 @@ def build(templates: dict[str, str] = TEMPLATES) -> Index:
     return Index(names, words, k[order], np.concatenate(template)[order] if keys else k, np.concatenate(place)[order] if keys else k)
 
 
-def align(text: np.ndarray, tpl: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """``(matched words, first, last)`` of the best alignment of the whole template with the text within the band.
+_BITS = 20
+_MASK = (1 << _BITS) - 1
+
+
+def align(text: np.ndarray, tpl: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(matched words, first, last)`` of the best alignment of the whole template with the text within the band around each diagonal.
 
     ``first`` and ``last`` are the text's outermost matched words; -1 without a match.
     A match counts 1; gaps and differences cost nothing but the match they lose,
-    ties prefer the later start and the earlier end.
+    ties prefer the later start and the earlier end. All diagonals go through the
+    recurrence together: a cell is one number, matches first, then the start,
+    then what the end leaves, so that a better cell is a larger number.
     """
-    lo = diagonal - band
-    width = 2 * band + 1
-    # best[k]: (matched, start, end) with the template's first j words and text up to word lo + k + j
-    best = [(0, 1 << 60, -1)] * width
-    n = len(text)
-    rank = lambda c: (c[0], c[1] if c[0] else 0, -c[2])
+    width, pad = 2 * band + 1, len(tpl) + band + 1
+    code = np.zeros(len(text) + 2 * pad, np.uint64)
+    code[pad : pad + len(text)] = text
+    real = np.zeros(len(code), bool)
+    real[pad : pad + len(text)] = True
+    at = (diagonals - band + pad)[:, None] + np.arange(width)
+    best = np.zeros((len(diagonals), width), np.int64)
     for j in range(len(tpl)):
-        now: list[tuple[int, int, int]] = []
-        for k in range(width):
-            i = lo + k + j
-            c = best[k]
-            if 0 <= i < n and text[i] == tpl[j]:
-                c = (c[0] + 1, c[1] if c[0] else i, i)
-            if k + 1 < width and rank(best[k + 1]) > rank(c):  # template word left out
-                c = best[k + 1]
-            if k and rank(now[k - 1]) > rank(c):  # text word left out
-                c = now[k - 1]
-            now.append(c)
-        best = now
-    m, a, z = max(best, key=rank)
-    return m, (a if m else -1), z
+        same = (code[at + j] == tpl[j]) & real[at + j]
+        rel = np.arange(width) + j
+        hit = np.where(best == 0, (rel << _BITS), best & ~_MASK) + (1 << 2 * _BITS) + (_MASK - rel)
+        now = np.where(same, hit, best)
+        now[:, :-1] = np.maximum(now[:, :-1], best[:, 1:])  # a template word left out
+        best = np.maximum.accumulate(now, axis=1)  # text words left out
+    v = best.max(1)
+    m = v >> 2 * _BITS
+    lo = diagonals - band
+    return m, np.where(m > 0, lo + ((v >> _BITS) & _MASK), -1), np.where(m > 0, lo + _MASK - (v & _MASK), -1)
 
 
 def matches(index: Index, h: np.ndarray, seeds: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
@@ -102,19 +108,21 @@ def matches(index: Index, h: np.ndarray, seeds: list[tuple[int, int]], coverage:
     for t, d in seeds:
         by.setdefault(t, []).append(d)
     for t, ds in by.items():
-        last = None
+        some, last = [], None
         for d in sorted(set(ds)):
-            if last is not None and d - last <= BAND // 2:
-                continue
-            last = d
-            m, a, z = align(h, index.words[t], d)
-            if m >= coverage * len(index.words[t]):
-                found.append((m, a, z, t))
+            if last is None or d - last > BAND // 2:
+                some.append(d)
+                last = d
+        for k in range(0, len(some), DIAGONALS):
+            m, a, z = align(h, index.words[t], np.array(some[k : k + DIAGONALS], np.int64))
+            good = np.flatnonzero(m >= coverage * len(index.words[t]))
+            found += [(*x, t) for x in zip(m[good].tolist(), a[good].tolist(), z[good].tolist())]
     taken: list[tuple[int, int]] = []
     out = []
     for m, a, z, t in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1], f[3])):
-        if all(z < x or a > y for x, y in taken):
-            taken.append((a, z))
+        k = bisect_left(taken, (a, z))
+        if (k == len(taken) or z < taken[k][0]) and (not k or a > taken[k - 1][1]):
+            taken.insert(k, (a, z))
             out.append((t, m, a, z))
     return out
 
@@ -125,9 +133,11 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
     ``coverage`` is the share of the template's words matched, ``start`` and
     ``stop`` count characters of the original text. A text with several
     licenses, or one twice, has a row for each; a template that lies within a
-    larger match is not reported. Null and empty texts and texts without a
-    license have no row; null ids are kept; repeated rows give repeated results;
-    an empty table gives no rows; other columns are not read.
+    larger match is not reported; of equal matches the template that is first by
+    name counts. Null and empty texts and texts without a license have no row;
+    a text of any length is scanned whole; null ids are kept; repeated rows give
+    repeated results; an empty table gives no rows; other columns are not read,
+    whatever their names.
     """
     shared = spark.sparkContext.broadcast(build(templates))
     names = ["doc_id", "license", "coverage", "start", "stop", "n_matched"]

@@ -27,6 +27,17 @@ TEMPLATES = {
         "Redistributions in binary form must", "reproduce the above copyright notice,", "this list of conditions and", "the following disclaimer in the",
         "documentation and/or other materials", "provided with the distribution.",
     ),
+    "BSD-3-Clause": _t(
+        "Redistribution and use in source", "and binary forms, with or without", "modification, are permitted provided", "that the following conditions are met:",
+        "Redistributions of source code must", "retain the above copyright notice,", "this list of conditions and", "the following disclaimer.",
+        "Redistributions in binary form must", "reproduce the above copyright notice,", "this list of conditions and", "the following disclaimer in the",
+        "documentation and/or other materials", "provided with the distribution.", "Neither the name of the", "copyright holder nor the names",
+        "of its contributors may be", "used to endorse or promote", "products derived from this software", "without specific prior written permission.",
+    ),
+    "BSD-disclaimer": _t(
+        "THIS SOFTWARE IS PROVIDED BY", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", '"AS IS" AND ANY EXPRESS', "OR IMPLIED WARRANTIES, INCLUDING,",
+        "BUT NOT LIMITED TO, THE", "IMPLIED WARRANTIES OF MERCHANTABILITY AND", "FITNESS FOR A PARTICULAR PURPOSE", "ARE DISCLAIMED.",
+    ),
     "Apache-2.0": _t(
         'Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file", "except in compliance with the License.",
         "You may obtain a copy of", "the License at", "http://www.apache.org/licenses/LICENSE-2.0", "Unless required by applicable law",
@@ -41,6 +52,20 @@ TEMPLATES = {
         "MERCHANTABILITY or FITNESS FOR", "A PARTICULAR PURPOSE.",
     ),
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-3.0": _t(
+        "This library is free software;", "you can redistribute it and/or", "modify it under the terms of", "the GNU Lesser General Public License",
+        "as published by the Free Software", "Foundation; either version 3 of", "the License, or (at your option)", "any later version.",
+    ),
+    "Zlib": _t(
+        "This software is provided 'as-is',", "without any express or implied warranty.", "In no event will the authors", "be held liable for any damages",
+        "arising from the use of", "this software. Permission is granted", "to anyone to use this software", "for any purpose, including commercial applications,",
+        "and to alter it and", "redistribute it freely, subject to", "the following restrictions:",
+    ),
+    "Unlicense": _t(
+        "This is free and unencumbered software", "released into the public domain.", "Anyone is free to copy,", "modify, publish, use, compile,",
+        "sell, or distribute this software,", "either in source code form", "or as a compiled binary,", "for any purpose, commercial or",
+        "non-commercial, and by any means.",
+    ),
     "MPL-2.0": _t(
         "This Source Code Form is subject", "to the terms of the Mozilla", "Public License, v. 2.0.", "If a copy of the MPL was",
         "not distributed with this file,", "You can obtain one at", "https://mozilla.org/MPL/2.0/.",
