@@ -2,7 +2,7 @@
 
 Many voters look at a document: one for each word of an abuse lexicon, one for
 each word or word beginning that labelled toxic rows have, or have twice, and
-clean ones lack, and some patterns. A generative label model estimates each voter's accuracy and
+clean ones lack, and one for each pattern of addressed or piled-up abuse. A generative label model estimates each voter's accuracy and
 the correlations between voters from their votes, beginning with how they agree
 with the labels, and gives posterior labels. A linear classifier over words and word beginnings is trained on these
 posteriors and applied to all text.
@@ -46,6 +46,19 @@ LEXICON = (
 )
 
 
+#: Pattern voters, over words in lower case with one blank between: abuse that is addressed, wished or piled up.
+PATTERNS = {
+    "addressed insult": r" (?:you|u|ya|youre|you re|you are|your|yall)(?: \w+){0,3} (?:%s) " % "|".join(LEXICON),
+    "insult after an article": r" (?:such|what|total|complete|utter|absolute|fucking) (?:a |an )?(?:%s) " % "|".join(LEXICON),
+    "ill wish": r" (?:go|please|should|hope you|just) (?:die|rot|kill|hang|burn|suffer|choke|drown)",
+    "silencing": r" (?:shut (?:up|your)|get lost|piss off|go to hell|nobody (?:likes|wants|cares about) you|halt die|ferme la|cierra la boca)",
+    "hate of a group": r" (?:hate|despise|deport|exterminate|get rid of) (?:all |every |those |these |you |them)",
+    "insult with a group": r" (?:all|those|these|you) \w+ (?:are|is) (?:\w+ ){0,2}(?:%s) " % "|".join(LEXICON),
+    "word three times in a row": r" (\w{3,}) \1 \1 ",
+    "two insults near each other": r" (?:%s) (?:\w+ ){0,4}(?:%s) " % ("|".join(LEXICON), "|".join(LEXICON)),
+}
+
+
 @dataclass
 class Model:
     features: list[str]  # normalised needles: " word " or " begin", after TWICE if it must occur twice
@@ -232,14 +245,19 @@ def _fit(rows: list) -> Model:
     voters = sorted({*mined.tolist(), *lexicon})
     place = np.full(len(cand), -1)
     place[voters] = np.arange(len(voters))
-    votes = np.zeros((len(rows), len(voters) + 2), np.float32)
+    patterns = [re.compile(x.encode().decode("latin-1")) for x in PATTERNS.values()]
+    names = [cand[k] for k in voters] + [*PATTERNS, "several voters", "no voter"]
+    matched = np.array([[rx.search(t) is not None for rx in patterns] for t in texts])
+    matched &= wilson((matched & toxic[:, None]).sum(0), matched.sum(0)) > 0.6  # as for mined ones
+    votes = np.zeros((len(rows), len(names)), np.float32)
     for k, s in enumerate(sets):
         v = place[s]
         v = v[v >= 0]
         votes[k, v] = 1
-        # two pattern voters: several voters at once, and none at all
+        votes[k, len(voters) : len(voters) + len(patterns)] = matched[k]
+        # two voters that look at the words: several at once, and none at all
         votes[k, -2] = 1 if len(v) >= 3 else 0
-        votes[k, -1] = -1 if not len(v) else 0
+        votes[k, -1] = -1 if not len(v) and not matched[k].any() else 0
     prior = float(toxic.mean())
     post, accuracy = label_model(votes, prior, known=toxic)
     soft_hit = np.bincount(np.concatenate(sets), np.repeat(post, [len(s) for s in sets]), len(cand))
@@ -253,7 +271,7 @@ def _fit(rows: list) -> Model:
     weight, bias = logistic(feats, post, len(chosen))
     score = np.array([weight[f].sum() + bias for f in feats])
     threshold = calibrate(score, toxic, MAX_FALSE)
-    return Model([cand[k] for k in chosen], weight, bias, threshold, [cand[k] for k in voters] + ["several voters", "no voter"], accuracy, prior)
+    return Model([cand[k] for k in chosen], weight, bias, threshold, names, accuracy, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Model:
@@ -290,12 +308,17 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, id_col: str = "doc
 
     Null and empty texts have no features and are not toxic; a score at the
     threshold is not toxic; null ids and repeated rows are kept; whole texts are
-    scanned; an empty table gives no rows; other columns are not read.
+    scanned, however long; an empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     return map_arrow(source, _kernel(spark.sparkContext.broadcast(model), False), "doc_id bigint, score double, toxic boolean, n_features int")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that :func:`score` does not call toxic, all their columns as they are, in one pass."""
+    """The rows of ``docs`` that :func:`score` does not call toxic, all their columns as they are, in one pass.
+
+    Rows with a null or empty text, with a null id and repeated rows stay or go
+    by their text alone; an empty table gives no rows.
+    """
     return map_arrow(docs, _kernel(spark.sparkContext.broadcast(model), True), docs.schema)
