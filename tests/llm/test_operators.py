@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from locusframe.llm import brown_lm, decontam, lang_cnn, license_scan, ngram_join, packing, quality_forest, queries, token_count, toxicity, url_rules
 from locusframe.llm.license_texts import TEMPLATES
@@ -50,7 +53,7 @@ def _each(spark, docs):
         "op1": url_rules.filter_urls(spark, docs, id_col="doc_id", url_col="text"),
         "op2": lang_cnn.identify(spark, docs, lang_cnn.train(lang_cnn.training_rows(docs), epochs=1)),
         "op3": toxicity.score(spark, docs, toxicity.train(docs, labels)),
-        "op4": ngram_join.similar_pairs(spark, docs),
+        "op4": ngram_join.similar_groups(spark, docs),
         "op5": packing.pack(docs),
         "op6": token_count.token_counts(spark, docs),
         "op7": quality_forest.judge(spark, docs, quality_forest.train(docs, labels)),
@@ -64,7 +67,7 @@ def test_hard_rows(spark, hard):
     got = {k: v.collect() for k, v in _each(spark, hard).items()}
     for k in ("op1", "op2", "op3", "op6", "op7", "op9"):
         assert len(got[k]) == len(ROWS), k
-    assert {(r.doc_a, r.doc_b) for r in got["op4"]} == {(1, 2)}
+    assert {tuple(r) for r in got["op4"]} == {(1, 1, 1), (2, 1, 1), *((k, k, 0) for k in (3, 4, 5, 6, 7))} and len(got["op4"]) == 7
     assert {r.predicted for r in got["op2"] if r.doc_id in (3, 4)} == {"und"}
     assert [(r.n_tokens, r.n_bytes) for r in got["op6"] if r.doc_id in (3, 4)] == [(0, 0), (0, 0)]
     assert sum(r.n_tokens - 1 for r in got["op5"] if r.doc_id == 5) == 120_000
@@ -93,11 +96,27 @@ def test_join_against_all_pairs(spark):
             w[int(rng.integers(len(w)))] = f"x{int(rng.integers(500))}"
         docs.append((k, " ".join(w)))
     sets = {k: _grams(t, 2) for k, t in docs}
-    wanted = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
-    got = ngram_join.similar_pairs(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
-    rep = {r.doc_b: r.doc_a for r in got if sets[r.doc_a] == sets[r.doc_b]}
-    short = {(min(rep.get(a, a), rep.get(b, b)), max(rep.get(a, a), rep.get(b, b))) for a, b in wanted if rep.get(a, a) != rep.get(b, b)} | {(a, b) for b, a in rep.items()}
-    assert {(r.doc_a, r.doc_b) for r in got} == short
+    got = ngram_join.similar_groups(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == _groups(sets) and len(got) == len(docs)
+
+
+def _groups(sets: dict) -> dict:
+    """Class and links of each document by comparing all pairs."""
+    links, root = Counter(), {k: k for k in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) and sets[a]:
+            links.update((a, b))
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if r == high else r for k, r in root.items()}
+    return {k: (root[k], links[k]) for k in sets}
+
+
+def test_copies_are_counted_and_hot_sets_joined_apart(spark, monkeypatch):
+    docs = [(k, "a b c d e f g h i j k l") for k in range(9)] + [(k, "a b c d e f g h i j k m") for k in range(9, 12)] + [(20, "n o p"), (21, None), (22, "q")]
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 5)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == _groups({k: _grams(t, 2) for k, t in docs})
+    assert got[3] == (0, 11)
 
 
 def test_suffix_filter_loses_nothing():
@@ -116,32 +135,94 @@ def test_suffix_filter_loses_nothing():
 def test_split_neighbourhoods_keep_all_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(40)) + f" end{k}") for k in range(20)], "doc_id bigint, text string")
     monkeypatch.setattr(ngram_join, "PLACE_BYTES", 1500)
-    assert ngram_join.similar_pairs(spark, docs).count() == 190
+    assert {(r.class_id, r.n_links) for r in ngram_join.similar_groups(spark, docs).collect()} == {(0, 19)}
 
 
 def test_keep_one(spark):
-    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v"), (None, "a b c d e f g h"), (4, None), (4, None)]
-    kept = ngram_join.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
-    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 4]
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v"), (None, "a b c d e f g h"), (4, None), (4, None), (5, "one text"), (5, "other text"), (5, "one text")]
+    rows = [(*r, "g", k) for k, r in enumerate(rows)]
+    kept = ngram_join.keep_one(spark, spark.createDataFrame(rows, "doc_id bigint, text string, gone string, row int")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.row) for r in kept) == [(0, "a b c d e f g h", 3), (1, "a b c d e f g h", 0), (3, "z y x w v", 2), (4, "", 4), (5, "one text", 6), (5, "other text", 7)]
+    empty = spark.createDataFrame([], "doc_id bigint, text string, gone string")
+    assert ngram_join.keep_one(spark, empty).count() == 0
+    long = spark.createDataFrame([(1, LONG), (2, LONG + "end"), (3, LONG[:60])], "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in ngram_join.keep_one(spark, long).collect()) == [1]
 
 
-def test_tokens_equal_tiktoken():
+def test_tokens_equal_tiktoken(spark):
     import tiktoken
 
     ranks = token_count.load_ranks()
     enc = tiktoken.Encoding("own", pat_str=token_count.SPLIT, mergeable_ranks=ranks, special_tokens={})
-    count = token_count.Counter(ranks).count
-    for text in ("Hello, world!  it's 2024\n\n", "naïve 東京 \U0001f600" * 3, "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 3000, " "):
-        assert count(text) == len(enc.encode_ordinary(text))
+    texts = ["Hello, world!  it's 2024\n\n", "naïve 東京 \U0001f600" * 3, "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 3000, " ", "", None]
+    assert token_count.counted(pa.array(texts), token_count.Counter(ranks)).tolist() == [len(enc.encode_ordinary(t or "")) for t in texts]
+    docs = spark.read.parquet(f"{oracle.SF001}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.n_bytes) for r in queries.QUERIES["op6_token_counts"](spark, oracle.SF001).collect()}
+    assert got == {r.doc_id: (len(enc.encode_ordinary(r.text or "")), len((r.text or "").encode())) for r in docs.collect()}
+
+
+def test_pretokens_are_those_of_the_pattern():
+    find = regex.compile(token_count.SPLIT).findall
+    rng = random.Random(1)
+    letters = "ab sstrevlmd''' \n\t  12.,!é 一٠́\U0001f600\x85\x1c"
+    for _ in range(4000):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(3)]
+        first = np.cumsum([0] + [len(t) for t in texts])[:-1]
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        lead = [len(x) for t in texts for x in find(t)]
+        assert token_count.cuts(points, np.unique([f for f, t in zip(first, texts) if t]).astype(np.int64)).tolist() == np.cumsum([0] + lead)[:-1].tolist(), texts
+
+
+LEAK_ITEMS = [(1, "What is the capital of the old northern kingdom called\nIt is named Osteria by all its people today"), (2, "two words"), (3, "Osteria\nwhich of these nine rivers flows through seven other lands before it meets a sea of salt"), (3, None), (None, "x y z")]
+LEAK_TEXTS = [
+    "Intro. WHAT is the capital, of the old northern kingdom called? end",
+    "It is named Osteria by all its people today",
+    "has two -- words in it",
+    "two wordsmiths",
+    LEAK_ITEMS[0][1],
+    "so, these nine rivers flows through seven other lands before it meets a sea, of",
+    "two words two words, two. two words",
+    "ÜBER: It is\nnamed Osteria by all its people today and it is named osteria by all its people today",
+    None,
+    "",
+    "Osteria",
+]
 
 
-def test_leaks_against_find(spark):
-    items = [(1, "What is the capital of the old northern kingdom called\nIt is named Osteria by all its people today"), (2, "two words")]
-    texts = [(k, t) for k, t in enumerate(("Intro. WHAT is the capital, of the old northern kingdom called? end", "It is named Osteria by all its people today", "has two -- words in it", "two wordsmiths", items[0][1]))]
-    got = decontam.find_leaks(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert sorted((r.doc_id, r.item_id) for r in got) == [(0, 1), (1, 1), (2, 2), (4, 1)]
+def _leaks(text: str | None) -> set:
+    """``(item, start, stop)`` by searching every needle at every word."""
+    w = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[0-9A-Za-z_\x80-\U0010ffff]+", text or "")]
+    found = set()
+    for needle, items in decontam.patterns(LEAK_ITEMS).items():
+        n = needle.encode("latin-1").decode().split(" ")
+        for k in range(len(w) - len(n) + 1):
+            if [x[2] for x in w[k : k + len(n)]] == n:
+                found.update((i, j) for i in items for j in range(k, k + len(n)))
+    out = set()
+    for i in {i for i, _ in found}:
+        places = sorted(j for x, j in found if x == i)
+        for j in places:
+            if j - 1 not in places:
+                z = next(k for k in itertools.count(j) if k + 1 not in places)
+                out.add((i, w[j][0], w[z][1]))
+    return out
+
+
+@pytest.mark.parametrize("room", [None, 60])
+def test_leaks_against_brute_force(spark, monkeypatch, room):
+    """Also where the needles need several passes."""
+    if room:
+        monkeypatch.setattr(decontam, "PASS_BYTES", room)
+    docs = spark.createDataFrame([(k if k != 3 else None, t, "x") for k, t in enumerate(LEAK_TEXTS)], "doc_id bigint, text string, gone string")
+    items = spark.createDataFrame(LEAK_ITEMS, "item_id bigint, text string")
+    got = decontam.find_leaks(spark, docs, items).collect()
+    wanted = {(k, *x) for k, t in enumerate(LEAK_TEXTS) for x in _leaks(t)}
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+    assert {r.doc_id for r in got} == {0, 1, 2, 4, 5, 6, 7}
     first = next(r for r in got if r.doc_id == 0)
-    assert texts[0][1][first.start : first.stop] == "WHAT is the capital, of the old northern kingdom called"
+    assert LEAK_TEXTS[0][first.start : first.stop] == "WHAT is the capital, of the old northern kingdom called"
+    kept = decontam.drop_contaminated(spark, docs, items).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [8, 9, 10] and len(kept) == 4
 
 
 def test_bins_never_overflow(spark):
@@ -169,6 +250,48 @@ def _lm_docs(n_words: int = 6000) -> list:
     return [(k, " ".join(words[k * 50 : k * 50 + 50])) for k in range(n_words // 50)]
 
 
+def _align(text, tpl, d: int, band: int) -> tuple:
+    """The best alignment by a table of all cells."""
+    rank = lambda c: (c[0], c[1] if c[0] else 0, -c[2])
+    best = [(0, 0, -1)] * (2 * band + 1)
+    for j in range(len(tpl)):
+        now: list = []
+        for k in range(len(best)):
+            i, c = d - band + k + j, best[k]
+            if 0 <= i < len(text) and text[i] == tpl[j]:
+                c = (c[0] + 1, c[1] if c[0] else i, i)
+            now.append(max([c, *best[k + 1 : k + 2], *now[-1:]], key=rank))
+        best = now
+    m, a, z = max(best, key=rank)
+    return (m, a, z) if m else (0, -1, -1)
+
+
+def test_alignment_against_all_cells():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        text = rng.integers(0, 5, int(rng.integers(1, 60))).astype(np.uint64)
+        tpl = rng.integers(0, 5, int(rng.integers(1, 25))).astype(np.uint64)
+        ds = np.arange(-len(tpl) + 1, len(text))
+        got = license_scan.align(text, tpl, ds, 4)
+        assert [tuple(int(c[k]) for c in got) for k in range(len(ds))] == [_align(text, tpl, int(d), 4) for d in ds]
+
+
+def test_licenses_in_hard_texts(spark):
+    """An edited, a repeated and a partial notice; equal templates tie by name; a long text of one phrase ends soon and has none."""
+    w = TEMPLATES["Apache-2.0"].split()
+    edited = " ".join(x for k, x in enumerate(w) if k % 9 != 4)
+    rows = [(1, f"intro {edited} outro"), (2, TEMPLATES["ISC"] + " and " + TEMPLATES["ISC"]), (3, " ".join(w[: len(w) // 2])), (4, "general public license " * 5000), (None, TEMPLATES["Zlib"]), (6, None), (7, "")]
+    began = time.time()
+    got = license_scan.scan(spark, spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, license string")).collect()
+    assert time.time() - began < 30
+    assert sorted((r.doc_id or 0, r.license) for r in got if r.license != "Apache-2.0-notice") == [(0, "Zlib"), (1, "Apache-2.0"), (2, "ISC"), (2, "ISC")]
+    twin = license_scan.scan(spark, spark.createDataFrame(rows[1:2], "doc_id bigint, text string"), {"B": TEMPLATES["ISC"], "A": TEMPLATES["ISC"]}).collect()
+    assert [r.license for r in twin] == ["A", "A"]
+    hit = next(r for r in got if r.doc_id == 1 and r.license == "Apache-2.0")
+    m, a, z = max(_align(rows[0][1].lower().split(), [x.lower() for x in w], d, license_scan.BAND) for d in range(-5, 6))
+    assert abs(hit.n_matched - m) <= 8 and rows[0][1][hit.start :].startswith("Licensed")
+
+
 def test_exchange_ends_where_no_move_helps():
     rng = np.random.default_rng(4)
     n = rng.poisson(0.4 + 3 * (np.arange(41)[None] % 5 == (np.arange(41)[:, None] + 1) % 5)).astype(float)
