@@ -47,13 +47,15 @@ def snp_qc(stats: DataFrame, maf: float = 0.05, missing: float = 0.10, mac: floa
     return stats.where(_passes(maf, missing, mac, info))
 
 
-def snp_qc_counters(stats: DataFrame, maf: float = 0.05, missing: float = 0.10, mac: float = 5) -> DataFrame:
-    ok = _passes(maf, missing, mac, 0)
+def snp_qc_counters(stats: DataFrame, maf: float = 0.05, missing: float = 0.10, mac: float = 5, info: float = 0.0) -> DataFrame:
+    """Variants in all, failing each rule, failing any and passing all. ``fail_info`` needs a column ``info`` if the rule is on."""
+    ok = _passes(maf, missing, mac, info)
     return stats.agg(
         F.count("*").alias("total"),
         F.count_if(F.col("maf") <= maf).alias("fail_maf"),
         F.count_if(F.col("missing_rate") >= missing).alias("fail_missing"),
         F.count_if(F.col("mac") < mac).alias("fail_mac"),
+        *([F.count_if(~F.coalesce(F.col("info") >= info, F.lit(False))).alias("fail_info")] if info > 0 else []),
         F.count_if(~ok).alias("fail_any"),
         F.count_if(ok).alias("pass_all"),
     )
@@ -74,12 +76,20 @@ def sample_qc(g: DataFrame, pheno: DataFrame, missing: float = 0.20) -> DataFram
     return kept
 
 
-def drop_alt(v: DataFrame, label: str = "chr") -> DataFrame:
-    """Variants on numbered chromosomes; an error if there is none."""
+def drop_alt(v: DataFrame, label: str = "chr", original: str | None = None, keep: bool = False) -> DataFrame:
+    """Variants on numbered chromosomes, or all with ``keep``; an error, which names up to ten ``original`` labels, if none is numbered."""
     kept = v.where(F.col(label) != "ALT")
     if kept.isEmpty():
-        raise ValueError("no variant lies on a numbered chromosome")
-    return kept
+        names = [str(r[0]) for r in v.select(original or label).distinct().orderBy(original or label).limit(10).collect()]
+        raise ValueError(f"no variant lies on a numbered chromosome: {', '.join(names)}")
+    return v if keep else kept
+
+
+def scale_2p_clipped(g: DataFrame) -> DataFrame:
+    """``z`` with the frequency from the mean dosage, kept away from 0 and 1 by 1e-6; 0 where missing."""
+    p = g.groupBy("variant").agg(F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.avg("dosage") / 2)).alias("_p"))
+    z = F.expr("(dosage - 2 * _p) / sqrt(2 * _p * (1 - _p))")
+    return g.join(p, "variant").withColumn("z", F.coalesce(z, F.lit(0.0))).drop("_p")
 
 
 def impute_mean(g: DataFrame) -> DataFrame:
@@ -174,6 +184,10 @@ def coord_sort(v: DataFrame, number: str = "chr") -> DataFrame:
     return v.join(F.broadcast(off), number).withColumn("variant_idx", F.row_number().over(w) + F.col("_o") - 1).drop("_o")
 
 
+def variants_of(g: DataFrame) -> DataFrame:
+    return g.select("variant", "chr", "pos").distinct()
+
+
 def vectors(g: DataFrame) -> DataFrame:
     """``(variant, chr, pos, g)`` with dosages in order of the samples: the layout of the matrix kernels."""
     rows = g.groupBy("variant", "chr", "pos").agg(F.array_sort(F.collect_list(F.struct("sample", "dosage"))).alias("_l"))

@@ -1,0 +1,222 @@
+"""Relationship matrices, principal components and the effective number of tests.
+
+All of them follow from sums of outer products over variants. Each task adds up
+its variants' products by chromosome, in square tiles of samples, and the tiles
+are added by a shuffle: what moves does not depend on the number of variants. A
+chromosome is left out by subtracting its sum.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .genotypes import vectors
+from .ld import filled, ld_prune
+
+#: Samples whose square matrices the driver and the tasks hold at most; more are an error.
+MAX_SAMPLES = 20_000
+TILE = 512
+#: Variants below which a matrix is not estimated.
+LEAST_VARIANTS = 10
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of equally long lists; nan where null."""
+    if not len(column):
+        return np.zeros((0, 0))
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1)
+
+
+def scaled_2p(g: np.ndarray) -> np.ndarray:
+    """Distance from twice the frequency over the binomial deviation, 0 where missing; variants are rows."""
+    ok = ~np.isnan(g)
+    p = np.where(ok, np.clip(g, 0, 2), 0).sum(1) / np.maximum(2 * ok.sum(1), 1)
+    sd = np.sqrt(2 * p * (1 - p))
+    z = (g - 2 * p[:, None]) / np.where(sd > 0, sd, 1)[:, None]
+    return np.where(ok, z, 0.0)
+
+
+def scaled_sd(g: np.ndarray) -> np.ndarray:
+    """Distance of the mean-imputed dosage from the mean over the population deviation; constant variants stay 0."""
+    x = filled(g)
+    x = x - x.mean(1, keepdims=True)
+    sd = x.std(1, keepdims=True)
+    return x / np.where(sd < 1e-8, 1, sd)
+
+
+def sample_ids(g: DataFrame) -> list:
+    """Samples in the order of the vectors."""
+    ids = [r[0] for r in g.select("sample").distinct().orderBy("sample").limit(MAX_SAMPLES + 1).collect()]
+    if len(ids) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    return ids
+
+
+def gram(v: DataFrame, n: int, scale=scaled_2p, tile: int = TILE) -> tuple[dict, dict, np.ndarray]:
+    """``(sums of outer products, numbers of variants, sum of the vectors)`` of ``(chr, g)``, the first two by chromosome.
+
+    Variants without variance add nothing and are not counted.
+    """
+    if n > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    cuts = [(a, min(a + tile, n)) for a in range(0, n, tile)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for c, (total, m, s) in held.items():
+                for i, (a, b) in enumerate(cuts):
+                    for j, (x, y) in enumerate(cuts[i:], i):
+                        first = not i and not j
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([c], pa.int32()), pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([m if first else 0], pa.int64()), pa.array([total[a:b, x:y].tobytes()], pa.binary()), pa.array([s.tobytes() if first else b""], pa.binary())],
+                            names=["chr", "i", "j", "m", "tile", "s"],
+                        )
+
+        for b in batches:
+            chrs, g = b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1))
+            for c in np.unique(chrs) if len(chrs) else ():
+                z = scale(g[chrs == c])
+                z = z[z.std(1) > 1e-12]
+                if int(c) not in held and len(held) == 4:  # no more than four squares at a time
+                    yield from out()
+                    held.clear()
+                total, m, s = held.get(int(c), (0.0, 0, 0.0))
+                held[int(c)] = (total + z.T @ z, m + len(z), s + z.sum(0))
+        yield from out()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, m, total, s = None, 0, 0.0, 0.0
+        for b in batches:
+            key = key or [b.column(k)[:1] for k in range(3)]
+            m += sum(b.column(3).to_pylist())
+            for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist()):
+                total = total + np.frombuffer(x)
+                s = s + np.frombuffer(y) if y else s
+        yield pa.RecordBatch.from_arrays([*key, pa.array([m], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([s.tobytes() if isinstance(s, np.ndarray) else b""], pa.binary())], names=["chr", "i", "j", "m", "tile", "s"])
+
+    schema = "chr int, i int, j int, m bigint, tile binary, s binary"
+    parts = v.select(F.col("chr").cast("int"), "g").mapInArrow(run, schema).groupBy("chr", "i", "j").applyInArrow(add, schema)
+    sums: dict = {}
+    count: dict = {}
+    whole = np.zeros(n)
+    for r in parts.toLocalIterator():
+        k = sums.setdefault(r[0], np.zeros((n, n)))
+        (a, b), (x, y) = cuts[r[1]], cuts[r[2]]
+        k[a:b, x:y] = np.frombuffer(r[4]).reshape(b - a, y - x)
+        k[x:y, a:b] = k[a:b, x:y].T
+        if not r[1] and not r[2]:
+            count[r[0]] = r[3]
+            whole += np.frombuffer(r[5])
+    return sums, count, whole
+
+
+def normalised(total: np.ndarray, m: int) -> np.ndarray:
+    """Mean outer product, with a mean diagonal of 1; the identity for less than ``LEAST_VARIANTS``."""
+    if m < LEAST_VARIANTS:
+        return np.eye(len(total))
+    k = total / m
+    mean = float(np.diag(k).mean())
+    return k / mean if mean > 0 and math.isfinite(mean) else k
+
+
+@dataclass
+class Kinship:
+    samples: list
+    k: np.ndarray
+    loco: dict  # by chromosome, from all others
+    status: dict  # of each chromosome: ok, or why the whole matrix stands for it
+    n_variants: dict
+    pcs: np.ndarray  # samples x components
+    eigenvalues: np.ndarray  # variances of all components, largest first
+    model: str = "LD_pruned_Z_over_m"
+
+
+def components(total: np.ndarray, mean: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(scores, variances)`` of principal components, from sums of outer products and of vectors over variants.
+
+    Samples are rows and variants columns, whose means over samples are taken
+    away; the sign is that of the largest score in absolute value.
+    """
+    n = len(total)
+    j = np.eye(n) - 1 / n
+    w, u = np.linalg.eigh(j @ total @ j)
+    w, u = np.clip(w[::-1], 0, None), u[:, ::-1]
+    k = max(0, min(k, n))
+    u = u[:, :k] * np.sign(u[np.abs(u[:, :k]).argmax(0), np.arange(k)])[None] if k else u[:, :0]
+    return u * np.sqrt(w[:k]), w / max(n - 1, 1)
+
+
+def kinship(g: DataFrame, n_pcs: int = 20, prune: bool = True) -> Kinship:
+    """Relationship matrix, leave-one-chromosome-out matrices and components of genotypes in long form.
+
+    Variants with frequencies strictly between 0 and 1 and four alleles at least
+    count, after pruning. Where fewer than ``LEAST_VARIANTS`` lie off a
+    chromosome, the whole matrix stands for its own.
+    """
+    from .genotypes import snp_stats, valid_af
+
+    ids = sample_ids(g)
+    good = g.join(valid_af(snp_stats(g)).select("variant"), "variant", "left_semi")
+    if prune:
+        good = good.join(ld_prune(good), "variant", "left_semi")
+    sums, count, whole = gram(vectors(good), len(ids))
+    m = sum(count.values())
+    total = sum(sums.values()) if sums else np.zeros((len(ids), len(ids)))
+    k = normalised(total, m)
+    loco, status = {}, {}
+    for c in sorted(sums):
+        off = m - count[c]
+        some = normalised(total - sums[c], off) if off >= LEAST_VARIANTS else k
+        fine = bool(np.isfinite(some).all())
+        loco[c] = some if fine else k
+        status[c] = "ok" if off >= LEAST_VARIANTS and fine else "fallback_too_few_off_chr_snps" if fine else "fallback_nonfinite_kernel"
+    pcs, values = components(total, whole, n_pcs)
+    return Kinship(ids, k, loco, status, count, pcs, values, "LD_pruned_Z_over_m" if m >= LEAST_VARIANTS else "identity_GRM_low_snp_count")
+
+
+def pairs_frame(spark: SparkSession, ids: list, k: np.ndarray) -> DataFrame:
+    """``(a, b, k)`` of all pairs of samples, ``a`` not after ``b``."""
+    i, j = np.triu_indices(len(ids))
+    at = np.array(ids)
+    return spark.createDataFrame(pa.table({"a": at[i], "b": at[j], "k": k[i, j]}))
+
+
+def pcs_frame(spark: SparkSession, kin: Kinship) -> DataFrame:
+    """``(sample, pc, score)``."""
+    n, k = kin.pcs.shape
+    return spark.createDataFrame(pa.table({"sample": np.repeat(kin.samples, k), "pc": np.tile(np.arange(1, k + 1), n), "score": kin.pcs.reshape(-1)}))
+
+
+def variance_shares(spark: SparkSession, kin: Kinship) -> DataFrame:
+    """``(pc, eigenvalue, percent, cumulative)`` of all components with a variance."""
+    w = kin.eigenvalues[kin.eigenvalues > 1e-9]
+    share = 100 * w / max(w.sum(), 1e-300)
+    return spark.createDataFrame(pa.table({"pc": np.arange(1, len(w) + 1), "eigenvalue": w, "percent": share, "cumulative": np.cumsum(share)}))
+
+
+@dataclass
+class Meff:
+    value: int
+    eigenvalues: np.ndarray = field(repr=False, default=None)
+
+
+def effective_tests(g: DataFrame) -> Meff:
+    """Effective number of independent tests (Li and Ji): of each eigenvalue of the variants' correlations, 1 if it is 1 or more, and its fraction.
+
+    The eigenvalues are those of the samples' matrix; the other variants' are 0.
+    """
+    ids = sample_ids(g)
+    sums, _, _ = gram(vectors(g), len(ids), scaled_sd)
+    w = np.clip(np.linalg.eigvalsh(sum(sums.values()) / len(ids)), 0, None)[::-1] if sums else np.zeros(0)
+    w = np.round(w, 9)  # an eigenvalue of 1 but for rounding is 1
+    return Meff(math.ceil(float((w >= 1).sum() + (w % 1.0).sum()) - 1e-9), w)

@@ -217,15 +217,19 @@ def ld_blocks(g: DataFrame, threshold: float = 0.6, most: int = 500_000, least:
     return v.join(where, "variant").groupBy("chr", "_part").applyInPandas(one, _BLOCK)
 
 
-def peak_blocks(g: DataFrame, seeds: DataFrame, flank: int, threshold: float = 0.6, most: int | None = None, cap: int = 1500) -> DataFrame:
-    """Blocks around seeds ``(seed, chr, seed_pos)``: each window's constant variants go, ``cap`` evenly spaced ones stay; equal blocks are one."""
+def peak_blocks(g: DataFrame, seeds: DataFrame, flank: int, threshold: float = 0.6, most: int | None = None, cap: int = 1500, merge_iou: float = 0.3) -> DataFrame:
+    """Blocks around seeds ``(seed, chr, seed_pos)``, merged where they overlap in more than ``merge_iou`` of their union.
+
+    Constant variants of a window go, and ``cap`` evenly spaced ones stay, as a
+    feature of this search. ``lead`` lists the seeds whose windows have the block.
+    """
     from .intervals import lead_windows
 
     reach = flank if most is None else min(max(most, 200_000), flank)
     v = vectors(g)
     win = lead_windows(seeds, v.select("variant", "chr", "pos"), flank).select("seed", "variant").join(v, "variant")
 
-    def one(x: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["pos", "variant"])
         m = _matrix(x["g"])
         with np.errstate(all="ignore"):
@@ -234,36 +238,185 @@ def peak_blocks(g: DataFrame, seeds: DataFrame, flank: int, threshold: float = 0
         if len(keep) > cap:
             keep = keep[np.linspace(0, len(keep) - 1, cap).astype(int)]
         rows = blocks_of(m[keep], x["pos"].to_numpy()[keep], x["variant"].to_numpy()[keep], threshold, reach) if len(keep) else []
-        return pd.DataFrame([(x["chr"].iloc[0], *b) for b in rows], columns=["chr", "start", "end", "n_snps", "mean_r2", "members"])
+        return pd.DataFrame([(x["chr"].iloc[0], *b, [int(key[0])]) for b in rows], columns=["chr", "start", "end", "n_snps", "mean_r2", "members", "lead"])
+
+    found = win.groupBy("seed").applyInPandas(one, _BLOCK + ", lead array<int>")
+    same = found.groupBy("chr", "start", "end").agg(F.max("mean_r2").alias("mean_r2"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("lead")))).alias("lead"))
+
+    def fold(x: pd.DataFrame) -> pd.DataFrame:
+        done: list[list] = []
+        for c, a, z, r, m, lead in x.sort_values(["start", "end"])[["chr", "start", "end", "mean_r2", "members", "lead"]].itertuples(index=False):
+            now = [c, a, z, r, set(m), set(lead)]
+            while done:
+                last = done[-1]
+                union = max(z, last[2]) - min(a, last[1])
+                if union <= 0 or (min(z, last[2]) - max(a, last[1])) / union <= merge_iou:
+                    break
+                a, z = min(a, last[1]), max(z, last[2])
+                now = [c, a, z, max(r, last[3]), now[4] | last[4], now[5] | last[5]]
+                r = now[3]
+                done.pop()
+            done.append(now)
+        return pd.DataFrame([(c, a, z, len(m), r, sorted(m), sorted(lead)) for c, a, z, r, m, lead in done], columns=["chr", "start", "end", "n_snps", "mean_r2", "members", "lead"])
+
+    return same.groupBy("chr").applyInPandas(fold, _BLOCK + ", lead array<int>")
+
+
+def genomewide_blocks(g: DataFrame, threshold: float = 0.6, most: int = 500_000, least: int = 3, split_r2: float = 0.2) -> DataFrame:
+    """Blocks of all chromosomes, with the variant nearest to the middle as ``lead``.
+
+    Components of strong pairs within ``most`` are cut where neighbours come
+    apart, and a block longer than twice ``most`` at its weakest neighbours, as
+    often as needed. Pairs and components are distributed; a task then has the
+    variants of one component.
+    """
+    from ..operators.genotypes import variants_of
+
+    v = vectors(g)
+    strong = pair_r(g, most).withColumn("r2", F.col("r") * F.col("r"))
+    comp = components(strong, variants_of(g), threshold)
+    many = comp.groupBy("chr", "component").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+
+    def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values(["pos", "variant"])
+        m, pos, ids = _matrix(x["g"]), x["pos"].to_numpy(), x["variant"].to_numpy()
+        near = np.array([correlations(m[k : k + 1], m[k + 1 : k + 2], 20)[0][0, 0] ** 2 for k in range(len(m) - 1)])
+        rows, todo = [], []
+        start = 0
+        for k in range(len(m)):
+            if k == len(m) - 1 or np.isnan(near[k]) or near[k] < split_r2:
+                todo.append((start, k + 1))
+                start = k + 1
+        while todo:
+            a, z = todo.pop()
+            if z - a < least:
+                continue
+            if pos[z - 1] - pos[a] > 2 * most:
+                cut = a + 1 + int(np.argmin(np.nan_to_num(near[a : z - 1])))
+                todo += [(a, cut), (cut, z)]
+                continue
+            full = filled(m[a:z])
+            r2 = correlations(full, full, 0)[0][np.triu_indices(z - a, 1)] ** 2
+            middle = (pos[a] + pos[z - 1]) / 2
+            rows.append((int(key[0]), int(pos[a]), int(pos[z - 1]), z - a, float(np.nanmean(r2)), ids[a:z].tolist(), int(ids[a + int(np.argmin(np.abs(pos[a:z] - middle)))])))
+        return pd.DataFrame(rows, columns=["chr", "start", "end", "n_snps", "mean_r2", "members", "lead"])
+
+    return v.join(comp.join(many, ["chr", "component"]).select("variant", "component"), "variant").groupBy("chr", "component").applyInPandas(one, _BLOCK + ", lead int")
+
+
+def gap_expand(pos: np.ndarray, r2: np.ndarray, threshold: float, least: int = 3, misses: int = 3) -> list[tuple[int, int, int, float]]:
+    """``(start, end, n, mean r2)`` of runs of hits that go on over up to ``misses`` variants in a row, none further than three median gaps from the one before."""
+    order = np.argsort(pos, kind="stable")
+    pos, r2 = np.asarray(pos)[order], np.asarray(r2, float)[order]
+    hit = np.nan_to_num(r2, nan=-1) >= threshold
+    reach = 3 * float(np.median(np.diff(pos))) if len(pos) > 1 else 0.0
+    out, i = [], 0
+    while i < len(pos):
+        if not hit[i]:
+            i += 1
+            continue
+        j, missed = i, 0
+        while j + 1 < len(pos):
+            if hit[j + 1]:
+                missed = 0
+            elif missed < misses and pos[j + 1] - pos[j] <= reach:
+                missed += 1
+            else:
+                break
+            j += 1
+        k = np.flatnonzero(hit[i : j + 1]) + i
+        if len(k) >= least:
+            out.append((int(pos[k[0]]), int(pos[k[-1]]), len(k), float(r2[k].mean())))
+        i = j + 1
+    return out
+
 
-    return win.groupBy("seed").applyInPandas(one, _BLOCK).dropDuplicates(["chr", "start", "end"])
+def ld_clusters(to_lead: DataFrame, threshold: float = 0.6, least: int = 3) -> DataFrame:
+    """:func:`gap_expand` of each chromosome of ``(chr, pos, r2)``."""
+
+    def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *c) for c in gap_expand(x["pos"].to_numpy(), x["r2"].to_numpy(), threshold, least)], columns=["chr", "start", "end", "n_snps", "mean_r2"])
+
+    return to_lead.select("chr", "pos", "r2").groupBy("chr").applyInPandas(one, "chr int, start bigint, end bigint, n_snps int, mean_r2 double")
+
+
+def extract_block(g: DataFrame, members: DataFrame, samples: DataFrame | None = None, least_maf: float = 0.0) -> DataFrame:
+    """Genotypes of a block's variants ``(variant)``, of some samples if given: those that vary and are more frequent than ``least_maf``. Fewer than two are returned as they are."""
+    x = g.join(members.select("variant").distinct(), "variant", "left_semi")
+    if samples is not None:
+        x = x.join(samples.select("sample"), "sample", "left_semi")
+    if members.select("variant").distinct().limit(2).count() < 2:
+        return x
+    s = x.groupBy("variant").agg(F.var_pop("dosage").alias("_v"), (F.avg("dosage") / 2).alias("_p"))
+    good = s.where((F.col("_v") > 1e-12) & (F.least("_p", 1 - F.col("_p")) > least_maf)).select("variant")
+    return x.join(good, "variant", "left_semi")
+
+
+def decay_by_chr(g: DataFrame, bins: int = 50, most: int = 5_000_000, cap: int = 2000, least_snps: int = 10, least_pairs: int = 20) -> DataFrame:
+    """Decay of each chromosome with ``least_snps`` variants: ``(chr, bin, dist_kb, n_pairs, median_r2, mean_r2)``.
+
+    At most ``cap`` evenly spaced variants of a chromosome are paired, as a
+    feature of the curve; bins go from the least to the largest distance seen.
+    """
+    from .genotypes import variants_of
+    from .multitest import linspace_rows
+
+    v = variants_of(g)
+    enough = v.groupBy("chr").count().where(F.col("count") >= least_snps).select("chr")
+    chosen = linspace_rows(v.join(enough, "chr", "left_semi"), cap, "pos", "variant")
+    pairs = pair_r(g.join(chosen.select("variant"), "variant", "left_semi"), most).withColumn("r2", F.col("r") * F.col("r")).where("r2 IS NOT NULL AND dist > 0")
+    span = pairs.groupBy("chr").agg(F.min("dist").alias("_lo"), F.max("dist").alias("_hi"), F.count("*").alias("_n")).where(F.col("_n") >= least_pairs)
+    w = F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-9))
+    x = pairs.join(F.broadcast(span), "chr").withColumn("bin", F.least(F.lit(bins - 1), F.floor((F.col("dist") - F.col("_lo")) / w)).cast("int")).withColumn("_mid", F.col("_lo") + (F.col("bin") + 0.5) * w)
+    return x.groupBy("chr", "bin").agg((F.min("_mid") / 1000).alias("dist_kb"), F.count("*").alias("n_pairs"), F.median("r2").alias("median_r2"), F.avg("r2").alias("mean_r2")).where("n_pairs >= 5")
+
+
+def local_ld(g: DataFrame, lead: int, around: int = 50_000, signed: bool = False) -> DataFrame:
+    """``(chr, a, b, dist, n, r2)`` (``r`` if ``signed``) of the pairs within ``around`` of a lead."""
+    at = g.where(F.col("variant") == lead).select("chr", "pos").first()
+    if at is None:
+        raise ValueError(f"no such variant: {lead}")
+    near = g.where((F.col("chr") == at[0]) & F.col("pos").between(at[1] - around, at[1] + around))
+    x = pair_r(near, 2 * around + 1, impute=not signed)
+    return x if signed else x.select("chr", "a", "b", "dist", "n", (F.col("r") * F.col("r")).alias("r2"))
+
+
+def prune_chromosome(pos: np.ndarray, g: np.ndarray, threshold: float, window: int, step: int, cap: int) -> np.ndarray:
+    """Which variants of one chromosome, in order of place, stay."""
+    m = filled(g)
+    z = m - m.mean(1, keepdims=True)
+    sd = z.std(1, keepdims=True)
+    z = z / np.where(sd > 0, sd, 1)
+    kept = np.ones(len(pos), bool)
+    for a in range(int(pos[0]), int(pos[-1]) + 1, step) if len(pos) >= 2 else ():
+        at = np.flatnonzero(kept & (pos >= a) & (pos <= a + window))
+        if len(at) > cap:
+            at = at[:: len(at) // cap]
+        if len(at) < 2:
+            continue
+        r2 = np.clip(z[at] @ z[at].T / max(z.shape[1] - 1, 1), -1, 1) ** 2
+        alive = np.ones(len(at), bool)
+        for k in range(len(at) - 1):
+            if alive[k]:
+                alive[k + 1 :] &= r2[k, k + 1 :] <= threshold
+        kept[at[~alive]] = False
+    return kept
 
 
 def ld_prune(g: DataFrame, threshold: float = 0.2, window: int = 500_000, step: int = 100_000, cap: int = 800) -> DataFrame:
-    """``(variant)`` that stay: in sliding windows over those still kept, a later variant with a larger r2 goes. Fewer than ten left keep all."""
+    """``(variant)`` that stay: in sliding windows, closed on both sides, over those still kept, a later variant with a larger r2 goes.
+
+    Windows of more than ``cap`` variants are thinned by a stride, as a feature
+    of this rule; variants of chromosome 0 (none of the numbered ones) are left
+    out; fewer than ten left keep all. The order of the rule is sequential, so a
+    task has one chromosome.
+    """
     v = vectors(g)
 
     def one(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values(["pos", "variant"])
-        pos, m = x["pos"].to_numpy(), filled(_matrix(x["g"]))
-        z = m - m.mean(1, keepdims=True)
-        sd = z.std(1, keepdims=True)
-        z = z / np.where(sd > 0, sd, 1)
-        kept = np.ones(len(pos), bool)
-        if len(pos) >= 2:
-            for a in range(int(pos[0]), int(pos[-1]) + 1, step):
-                at = np.flatnonzero(kept & (pos >= a) & (pos < a + window))
-                if len(at) > cap:
-                    at = at[:: -(-len(at) // cap)]
-                if len(at) < 2:
-                    continue
-                r2 = np.clip(z[at] @ z[at].T / max(z.shape[1] - 1, 1), -1, 1) ** 2
-                alive = np.ones(len(at), bool)
-                for k in range(len(at) - 1):
-                    if alive[k]:
-                        alive[k + 1 :] &= r2[k, k + 1 :] <= threshold
-                kept[at[~alive]] = False
+        kept = prune_chromosome(x["pos"].to_numpy(), _matrix(x["g"]), threshold, window, step, cap)
         return pd.DataFrame({"variant": x["variant"].to_numpy()[kept]})
 
-    out = v.groupBy("chr").applyInPandas(one, "variant int")
+    out = v.where("chr <> 0").groupBy("chr").applyInPandas(one, "variant int").persist()
     return out if out.limit(10).count() >= 10 else v.select("variant")

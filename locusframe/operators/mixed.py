@@ -1,0 +1,351 @@
+"""Association scans with covariates and with a mixed model.
+
+A trait is ``covariates + variant + polygenic effect + noise``, the polygenic
+effect having the relationship matrix as covariance. Its share of the variance
+is estimated once, by restricted maximum likelihood without a variant. The
+eigenvectors of the matrix and the weights that follow are broadcast, and each
+batch of variants is rotated by one matrix product. With the identity as matrix
+this is the ordinary regression.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.dist import lambda_gc, t_p
+from .genotypes import vectors
+from .kinship import MAX_SAMPLES, Kinship, matrix
+from .ld import filled
+from .multitest import bin_best
+
+_RESULT = "variant int, chr int, pos bigint, beta double, se double, t double, p double"
+
+
+@dataclass
+class Null:
+    """What a scan needs of the model without a variant."""
+
+    rotate: np.ndarray | None  # samples x samples, with the weights' roots; None for the identity
+    q: np.ndarray  # orthonormal basis of the rotated covariates
+    y: np.ndarray  # rotated trait without them
+    df: int
+    h2: float
+    rows: np.ndarray  # samples with a trait, by place in the vectors
+
+
+def _basis(x: np.ndarray) -> np.ndarray:
+    """Orthonormal basis of the columns; dependent ones add nothing."""
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    return u[:, s > 1e-10 * max(s.max(initial=0), 1e-300) * max(x.shape)]
+
+
+def design(n: int, covariates: np.ndarray | None) -> np.ndarray:
+    one = np.ones((n, 1))
+    return one if covariates is None or not covariates.size else np.column_stack([one, covariates])
+
+
+def ols_null(y: np.ndarray, covariates: np.ndarray | None = None, rank_df: bool = True) -> Null:
+    """Samples without a finite trait are left out. With ``rank_df`` dependent covariates cost no degree of freedom."""
+    rows = np.flatnonzero(np.isfinite(y))
+    x = design(len(y), covariates)[rows]
+    q = _basis(x)
+    p = q.shape[1] if rank_df else x.shape[1]
+    return Null(None, q, y[rows] - q @ (q.T @ y[rows]), max(len(rows) - p - 1, 1), 0.0, rows)
+
+
+def reml(s: np.ndarray, uy: np.ndarray, ux: np.ndarray, h2: float) -> float:
+    """Restricted log-likelihood of a share ``h2`` of the variance, but for a constant."""
+    v = np.maximum(h2 * s + 1 - h2, 1e-12)
+    w = 1 / v
+    xtx = (ux * w[:, None]).T @ ux
+    b = np.linalg.lstsq(xtx, (ux * w[:, None]).T @ uy, rcond=None)[0]
+    r = uy - ux @ b
+    df = len(uy) - ux.shape[1]
+    rss = max(float((w * r * r).sum()), 1e-300)
+    return -0.5 * (df * math.log(rss / df) + float(np.log(v).sum()) + np.linalg.slogdet(xtx)[1])
+
+
+def best_share(s: np.ndarray, uy: np.ndarray, ux: np.ndarray) -> float:
+    """The share of the variance that is most likely: a grid, then golden sections around its best value."""
+    grid = np.concatenate([np.linspace(0, 0.99, 34), [0.995, 0.999]])
+    k = int(np.argmax([reml(s, uy, ux, h) for h in grid]))
+    lo, hi = grid[max(k - 1, 0)], grid[min(k + 1, len(grid) - 1)]
+    ratio = (math.sqrt(5) - 1) / 2
+    a, b = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
+    fa, fb = reml(s, uy, ux, a), reml(s, uy, ux, b)
+    for _ in range(40):
+        if fa >= fb:
+            hi, b, fb = b, a, fa
+            a = hi - ratio * (hi - lo)
+            fa = reml(s, uy, ux, a)
+        else:
+            lo, a, fa = a, b, fb
+            b = lo + ratio * (hi - lo)
+            fb = reml(s, uy, ux, b)
+    return max((0.0, (lo + hi) / 2, float(grid[k])), key=lambda h: (reml(s, uy, ux, h), -h))
+
+
+def lmm_null(y: np.ndarray, k: np.ndarray, covariates: np.ndarray | None = None) -> Null:
+    """The mixed model without a variant; ``k`` is scaled to a mean diagonal of 1."""
+    if len(y) > MAX_SAMPLES:
+        raise ValueError(f"more than {MAX_SAMPLES} samples")
+    rows = np.flatnonzero(np.isfinite(y))
+    x = design(len(y), covariates)[rows]
+    k = k[np.ix_(rows, rows)]
+    mean = float(np.diag(k).mean())
+    s, u = np.linalg.eigh(k / mean if mean > 0 else k)
+    s = np.clip(s, 0, None)
+    h2 = best_share(s, u.T @ y[rows], u.T @ _basis(x))
+    root = 1 / np.sqrt(np.maximum(h2 * s + 1 - h2, 1e-12))
+    rotate = u * root
+    q = _basis(rotate.T @ x)
+    yr = rotate.T @ y[rows]
+    return Null(rotate, q, yr - q @ (q.T @ yr), max(len(rows) - q.shape[1] - 1, 1), h2, rows)
+
+
+def tests(null: Null, g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(beta, se, t, p)`` of variants, a row each; nan and p = 1 where a variant does not vary beyond the covariates."""
+    x = filled(g[:, null.rows])
+    plain = x.var(1)
+    x = x @ null.rotate if null.rotate is not None else x
+    x = x - (x @ null.q) @ null.q.T
+    sxx, sxy = (x * x).sum(1), x @ null.y
+    ok = (sxx > 1e-10 * len(null.rows)) & (plain > 1e-12)
+    with np.errstate(all="ignore"):
+        beta = np.where(ok, sxy / sxx, np.nan)
+        rss = np.maximum(float(null.y @ null.y) - beta * sxy, 0)
+        se = np.sqrt(rss / null.df / sxx)
+        t = beta / se
+    p = np.clip(np.nan_to_num(t_p(t, float(null.df)), nan=1.0), 1e-300, 1.0)
+    return beta, se, t, p
+
+
+def scan(v: DataFrame, null: Null) -> DataFrame:
+    """``(variant, chr, pos, beta, se, t, p)`` of ``(variant, chr, pos, g)`` under one model; beta is for one allele."""
+    shared = v.sparkSession.sparkContext.broadcast(null)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cols = tests(shared.value, matrix(b.column(3)))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(c, mask=np.isnan(c)) for c in cols)], names=["variant", "chr", "pos", "beta", "se", "t", "p"])
+
+    return v.select("variant", "chr", "pos", "g").mapInArrow(run, _RESULT)
+
+
+def trait_vector(samples: list, pheno: DataFrame) -> np.ndarray:
+    """The trait in order of the samples; nan where there is none. Of repeated samples the smallest value counts."""
+    y = {r[0]: r[1] for r in pheno.groupBy("sample").agg(F.min("y")).collect()}
+    return np.array([math.nan if y.get(s) is None else float(y[s]) for s in samples])
+
+
+def ols_cov_scan(g: DataFrame, y: np.ndarray, covariates: np.ndarray | None = None, rank_df: bool = True) -> DataFrame:
+    return scan(vectors(g), ols_null(y, covariates, rank_df))
+
+
+def mlm_scan(g: DataFrame, y: np.ndarray, kin: Kinship, n_pcs: int = 4, loco: bool = True) -> DataFrame:
+    """Single-locus mixed model: each chromosome with the matrix of all others, and the first components as covariates."""
+    covariates = kin.pcs[:, :n_pcs] if n_pcs else None
+    v = vectors(g)
+    if not loco:
+        return scan(v, lmm_null(y, kin.k, covariates))
+    out = None
+    for r in v.select("chr").distinct().orderBy("chr").collect():
+        some = scan(v.where(F.col("chr") == r[0]), lmm_null(y, kin.loco.get(r[0], kin.k), covariates))
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else scan(v, ols_null(y))
+
+
+def vectors_of(v: DataFrame, ids: list[int]) -> dict[int, np.ndarray]:
+    """Mean-imputed vectors of a few variants."""
+    rows = v.where(F.col("variant").isin(ids)).select("variant", "g").collect() if ids else []
+    return {r[0]: filled(np.array([[math.nan if x is None else x for x in r[1]]], float))[0] for r in rows}
+
+
+def z_scored(x: np.ndarray) -> np.ndarray:
+    sd = x.std()
+    return (x - x.mean()) / (sd if sd > 0 else 1)
+
+
+def bic(y: np.ndarray, x: np.ndarray) -> float:
+    """Information criterion of an ordinary regression."""
+    ok = np.isfinite(y)
+    y, x = y[ok], x[ok]
+    q = _basis(x)
+    r = y - q @ (q.T @ y)
+    return len(y) * math.log(max(float(r @ r), 1e-12) / len(y)) + x.shape[1] * math.log(len(y))
+
+
+@dataclass
+class Selected:
+    result: DataFrame
+    chosen: list[int]  # variants in the order of their acceptance
+    rounds: int
+
+
+def mlmm(g: DataFrame, y: np.ndarray, kin: Kinship, n_pcs: int = 4, p_enter: float = 1e-4, window: int = 250_000, most: int = 10) -> Selected:
+    """Multi-locus mixed model by forward selection.
+
+    Each step scans with the variants accepted so far as covariates, leaving out
+    those within ``window`` of one; the best enters if its p is at most
+    ``p_enter`` and the information criterion does not rise. Ties go to the
+    smaller variant.
+    """
+    v = vectors(g).persist()
+    pcs = kin.pcs[:, :n_pcs]
+    chosen: list[tuple[int, int, int, np.ndarray]] = []
+    cov = pcs
+    now = bic(y, design(len(y), cov))
+    rounds = 0
+    while len(chosen) < most:
+        rounds += 1
+        free = scan(v, lmm_null(y, kin.k, cov))
+        for _, c, pos, _ in chosen:
+            free = free.where(~((F.col("chr") == c) & (F.abs(F.col("pos") - pos) <= window)))
+        best = free.orderBy("p", "variant").select("variant", "chr", "pos", "p").first()
+        if best is None or best.p > p_enter:
+            break
+        x = z_scored(vectors_of(v, [best.variant])[best.variant])
+        trial = np.column_stack([cov, x])
+        after = bic(y, design(len(y), trial))
+        if after > now:
+            break
+        chosen.append((best.variant, best.chr, best.pos, x))
+        cov, now = trial, after
+    return Selected(scan(v, lmm_null(y, kin.k, cov)), [c[0] for c in chosen], rounds)
+
+
+def validated(y: np.ndarray, k: np.ndarray, pcs: np.ndarray, candidates: list[int], x: dict[int, np.ndarray], p_of: dict[int, float], threshold: float, most: int) -> list[int]:
+    """Candidates, by their p, that a mixed model accepts one after the other, the accepted ones as covariates."""
+    out: list[int] = []
+    cov = pcs
+    for c in sorted(candidates, key=lambda c: (p_of.get(c, 1.0), c))[: 2 * most]:
+        if len(out) >= most:
+            break
+        if tests(lmm_null(y, k, cov), x[c][None])[3][0] < threshold:
+            out.append(c)
+            cov = np.column_stack([cov, z_scored(x[c])])
+    return out
+
+
+def pruned(chosen: list[int], x: dict[int, np.ndarray], p_of: dict[int, float], most_r2: float = 0.5) -> list[int]:
+    """Of two chosen variants that correlate, the one of the larger p goes; of equal ones the later."""
+    gone: set[int] = set()
+    for i, a in enumerate(chosen):
+        for b in chosen[i + 1 :]:
+            if a in gone or b in gone or x[a].std() == 0 or x[b].std() == 0:
+                continue
+            if np.corrcoef(x[a], x[b])[0, 1] ** 2 > most_r2:
+                gone.add(a if p_of.get(a, 1.0) > p_of.get(b, 1.0) else b)
+    return [c for c in chosen if c not in gone]
+
+
+def farmcpu(g: DataFrame, y: np.ndarray, kin: Kinship, n_pcs: int = 4, threshold: float = 0.01, accept: float = 0.01, most: int = 15, rounds: int = 10, final: str = "mlm", agree: float = 0.8) -> Selected:
+    """Fixed and random models in turn.
+
+    The fixed model scans all variants with the chosen ones as covariates; the
+    best of each position bin are candidates, and the random model accepts some
+    of them. It ends when none is left, the choice repeats, or two choices
+    agree in more than ``agree`` of their union, keeping the one before. The last
+    scan is a mixed model by chromosome (``mlm``), in which a chosen variant is
+    tested without itself, or the fixed model (``ols``), in which it keeps the p
+    it last had before it was a covariate.
+    """
+    v = vectors(g).persist()
+    pcs = kin.pcs[:, :n_pcs]
+    chosen: list[int] = []
+    x: dict[int, np.ndarray] = {}
+    last_p: dict[int, float] = {}
+    used = 0
+    for _ in range(rounds):
+        used += 1
+        cov = np.column_stack([pcs, *(z_scored(x[c]) for c in chosen)]) if chosen else pcs
+        result = scan(v, ols_null(y, cov)).persist()
+        best = bin_best(result.where(F.col("p") < threshold).select(F.col("variant").alias("snp"), "chr", "pos", "p"), threshold)
+        found = {r.snp: r.p for r in best.collect() if r.snp not in chosen}
+        result.unpersist()
+        last_p |= found
+        pool = [*dict.fromkeys([*chosen, *found])]
+        x |= vectors_of(v, [c for c in pool if c not in x])
+        new = pruned(validated(y, kin.k, pcs, pool, x, last_p, accept, most), x, last_p)
+        if not new or set(new) == set(chosen):
+            chosen = new if new else chosen
+            break
+        union = set(new) | set(chosen)
+        if chosen and len(set(new) & set(chosen)) / len(union) > agree:
+            break
+        chosen = new
+    cov = lambda leave=None: np.column_stack([pcs, *(z_scored(x[c]) for c in chosen if c != leave)])
+    if final == "ols":
+        out = scan(v, ols_null(y, cov()))
+        if chosen:
+            kept = v.sparkSession.createDataFrame([(c, float(last_p.get(c, 1.0))) for c in chosen], "variant int, _p double")
+            out = out.join(F.broadcast(kept), "variant", "left").withColumn("p", F.coalesce("_p", "p")).drop("_p").select(*out.columns)
+        return Selected(out, chosen, used)
+    out = None
+    for r in v.select("chr").distinct().orderBy("chr").collect():
+        here = v.where(F.col("chr") == r[0])
+        k = kin.loco.get(r[0], kin.k)
+        some = scan(here.where(~F.col("variant").isin(chosen)) if chosen else here, lmm_null(y, k, cov()))
+        out = some if out is None else out.unionByName(some)
+        for c in [q.variant for q in here.where(F.col("variant").isin(chosen)).select("variant").collect()] if chosen else []:
+            out = out.unionByName(scan(here.where(F.col("variant") == c), lmm_null(y, k, cov(c))))
+    return Selected(out, chosen, used)
+
+
+def inflation(result: DataFrame) -> float | None:
+    """Genomic inflation of a scan, untrimmed: the statistic of the middle p-values."""
+    from .multitest import lambdas
+
+    r = lambdas(result.select(F.lit(0).alias("model"), "p"), "model").first()
+    return None if r is None else r[1]
+
+
+def pick_components(lambdas: list[tuple[int, float | None]], low: float = 0.95, high: float = 1.05, tolerance: float = 0.02) -> int:
+    """The number of components to use, from the inflation with each.
+
+    If it is below ``low`` without any, none are used. Else the smallest number
+    whose inflation is within the band and ``tolerance``; else the smallest that
+    is nearly as close to 1 as the closest; 0 if no inflation is known.
+    """
+    known = sorted((k, abs(v - 1), v) for k, v in lambdas if v is not None and math.isfinite(v))
+    if not known:
+        return 0
+    if known[0][0] == 0 and known[0][2] < low:
+        return 0
+    reach = max(high - 1, 1 - low) + tolerance
+    fine = [k for k, d, _ in known if d <= reach]
+    if fine:
+        return fine[0]
+    best = min(d for _, d, _ in known)
+    return next(k for k, d, _ in known if d <= best + max(0.02, 0.15 * best))
+
+
+def auto_components(g: DataFrame, y: np.ndarray, kin: Kinship, most: int = 10, low: float = 0.95, high: float = 1.05, tolerance: float = 0.02, stop_early: bool = True) -> tuple[int, list[tuple[int, float | None, str]]]:
+    """``(number, [(components, inflation, status)])``: a mixed-model scan with each number of components until one is acceptable."""
+    rows: list[tuple[int, float | None, str]] = []
+    reach = max(high - 1, 1 - low) + tolerance
+    done = False
+    for k in range(min(most, kin.pcs.shape[1]) + 1):
+        if done:
+            rows.append((k, None, "skipped"))
+            continue
+        v = inflation(mlm_scan(g, y, kin, k))
+        rows.append((k, None if v is None else round(v, 4), "ok" if v is not None and abs(v - 1) <= reach else "off"))
+        done = stop_early and (rows[-1][2] == "ok" or (k == 0 and v is not None and v < low))
+    return pick_components([(k, v) for k, v, _ in rows], low, high, tolerance), rows
+
+
+def lambda_of(p: np.ndarray) -> float | None:
+    return lambda_gc(p)
+
+
+def frame(spark: SparkSession, rows: list[tuple[int, float | None, str]]) -> DataFrame:
+    return spark.createDataFrame(rows, "n_pcs int, lambda double, status string")

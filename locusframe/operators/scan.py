@@ -13,20 +13,23 @@ from ..functions.dist import t_p
 def ols_scan(g: DataFrame, pheno: DataFrame) -> DataFrame:
     """``(variant, chr, pos, n, beta, se, t)`` of the trait on mean-imputed dosages.
 
-    Imputing the mean leaves a variant's sums of squares and products about it
-    as they are, so called genotypes suffice and the scan is one aggregation;
-    only the trait's sums come from all samples. A constant variant has nulls.
+    Samples with genotypes and a trait count. Imputing the mean leaves a
+    variant's sums of squares and products about it as they are, so called
+    genotypes suffice and the scan is one aggregation; only the trait's sums come
+    from all samples. Sums are of whole dosages and of the trait about its
+    rounded mean: of a trait in whole numbers they are exact, in any order. A
+    constant variant has nulls.
     """
-    y = pheno.where("y IS NOT NULL")
-    whole = y.agg(F.count("*").alias("n"), F.avg("y").alias("_my"), F.expr("var_pop(y) * count(*)").alias("_syy"))
-    x = g.join(y, "sample").crossJoin(F.broadcast(whole)).withColumn("_yc", F.col("y") - F.col("_my"))
-    a = x.groupBy("variant", "chr", "pos").agg(
-        F.first("n").alias("n"), F.first("_syy").alias("_syy"), F.expr("var_pop(dosage) * count(dosage)").alias("_sxx"),
-        F.expr("sum(dosage * _yc) - avg(dosage) * sum(CASE WHEN dosage IS NOT NULL THEN _yc END)").alias("_sxy"),
-    )
-    ok = F.when(F.col("_sxx") > 1e-12, F.col("_sxx"))
-    b = a.withColumn("beta", F.col("_sxy") / ok).withColumn("_rss", F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)))
-    b = b.withColumn("se", F.sqrt(F.col("_rss") / F.greatest(F.col("n") - 2, F.lit(1)) / ok))
+    y = pheno.where("y IS NOT NULL").join(g.select("sample").distinct(), "sample", "left_semi")
+    y = y.crossJoin(F.broadcast(y.agg(F.round(F.avg("y")).alias("_c")))).select("sample", (F.col("y") - F.col("_c")).alias("_y"))
+    whole = y.agg(F.count("*").alias("n"), F.sum("_y").alias("_ty"), F.sum(F.col("_y") * F.col("_y")).alias("_tyy"))
+    a = g.where("dosage IS NOT NULL").join(y, "sample").groupBy("variant", "chr", "pos").agg(
+        F.count("*").cast("double").alias("_k"), F.sum("dosage").alias("_x"), F.sum(F.expr("dosage * dosage")).alias("_xx"), F.sum("_y").alias("_sy"), F.sum(F.expr("dosage * _y")).alias("_xy")
+    )
+    b = a.crossJoin(F.broadcast(whole)).withColumn("_sxx", F.expr("_k * _xx - _x * _x")).withColumn("_sxy", F.expr("_k * _xy - _x * _sy"))
+    b = b.withColumn("beta", F.expr("_sxy / CASE WHEN _sxx > 1e-9 * _k THEN _sxx END"))
+    b = b.withColumn("_rss", F.greatest(F.expr("(n * _tyy - _ty * _ty) / n - beta * _sxy / _k"), F.lit(0.0)))
+    b = b.withColumn("se", F.expr("CASE WHEN beta IS NOT NULL THEN sqrt(_rss / greatest(n - 2, 1) / (_sxx / _k)) END"))
     return b.select("variant", "chr", "pos", "n", "beta", "se", F.expr("beta / nullif(se, 0)").alias("t"))
 
 

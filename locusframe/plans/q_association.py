@@ -38,11 +38,11 @@ def _(s, d):
 
 @query(
     "significance_flags",
-    f"SELECT snp, {rnd('q', 9)} AS q, q <= 0.05 AS sig_fdr, p < 0.05::DOUBLE / m AS sig_bonf, p < 0.05::DOUBLE / 100 AS sig_meff FROM q WHERE model = 0",
-    _Q,
+    f"SELECT snp, {rnd('q', 9)} AS q, q <= 0.05 AS sig_fdr, p < 0.05::DOUBLE / m AS sig_bonf, p < 0.05::DOUBLE / 100 AS sig_meff FROM q",
+    _Q.replace("PARTITION BY model ", "").replace("PARTITION BY model)", ")"),
 )
 def _(s, d):
-    return rounded(M.significance(_model(s, d, 0), 100).select("snp", "q", "sig_fdr", "sig_bonf", "sig_meff"), "q", digits=9)
+    return rounded(M.significance(_best(s, d), 100).select("snp", "q", "sig_fdr", "sig_bonf", "sig_meff"), "q", digits=9)
 
 
 @query("top_k_per_model", "SELECT snp, model, p, j AS rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p, snp) AS j FROM best) WHERE j <= 30", _BEST)
@@ -50,9 +50,9 @@ def _(s, d):
     return M.top_k_per_model(_best(s, d)).select("snp", "model", "p", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("seeds", "SELECT snp, chr, pos, model, p FROM best WHERE model = 0 AND p < 0.0005 UNION SELECT * FROM (SELECT snp, chr, pos, model, p FROM best WHERE model = 0 ORDER BY p, snp LIMIT 10)", _BEST)
+@query("seeds", "SELECT snp, chr, pos, model, p FROM best WHERE p < 0.0005 UNION SELECT * FROM (SELECT snp, chr, pos, model, p FROM best ORDER BY p, snp LIMIT 10)", _BEST)
 def _(s, d):
-    return M.seeds(_model(s, d, 0), 0.0005)
+    return M.seeds(_best(s, d), 0.0005)
 
 
 @query("union_models", "SELECT snp, p, 'm' || model AS model FROM best", _BEST)
@@ -130,25 +130,25 @@ def _(s, d):
     return rounded(M.model_summary(_best(s, d)), "top_p", digits=9)
 
 
-@query("qq_expected", f"SELECT rank, {rnd('-log10((rank - 0.5::DOUBLE) / m)')} AS expected, {rnd('-log10(p)')} AS observed FROM (SELECT row_number() OVER (ORDER BY p, snp) AS rank, count(*) OVER () AS m, p FROM best WHERE model = 0)", _BEST)
+@query("qq_expected", f"SELECT rank, {rnd('-log10((rank - 0.5::DOUBLE) / m)')} AS expected, {rnd('-log10(p)')} AS observed FROM (SELECT row_number() OVER (ORDER BY p, snp) AS rank, count(*) OVER () AS m, p FROM best)", _BEST)
 def _(s, d):
-    return rounded(M.qq_points(_model(s, d, 0)).select(F.col("rank").cast("bigint").alias("rank"), "expected", "observed"), "expected", "observed")
+    return rounded(M.qq_points(_best(s, d)).select(F.col("rank").cast("bigint").alias("rank"), "expected", "observed"), "expected", "observed")
 
 
 @query("qq_band")
 def _(s, d):
-    return rounded(M.qq_points(_model(s, d, 0), band=True).select("rank", "expected", "observed", "band_low", "band_high"), "expected", "observed", "band_low", "band_high")
+    return rounded(M.qq_points(_best(s, d), band=True).select("rank", "expected", "observed", "band_low", "band_high"), "expected", "observed", "band_low", "band_high")
 
 
 @query(
     "cumulative_pos",
-    "SELECT snp, chr, pos, pos + o AS cum_pos, o + c AS tick FROM best JOIN f USING (chr) WHERE model = 0",
+    "SELECT snp, chr, pos, pos + o AS cum_pos, o + c AS tick FROM best JOIN f USING (chr)",
     _BEST
-    + """, e AS (SELECT chr, min(pos) AS a, max(pos) AS z FROM best WHERE model = 0 GROUP BY chr),
+    + """, e AS (SELECT chr, min(pos) AS a, max(pos) AS z FROM best GROUP BY chr),
 f AS (SELECT chr, coalesce(sum(z - a + 1000000) OVER (ORDER BY chr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, (a + z) / 2 AS c FROM e)""",
 )
 def _(s, d):
-    return M.cumulative_pos(_model(s, d, 0).select("snp", "chr", "pos"))
+    return M.cumulative_pos(_best(s, d).select("snp", "chr", "pos"))
 
 
 @query("hist_bins", "SELECT least(floor(p / (1::DOUBLE / 20)), 19)::INT AS bin, count(*) AS n FROM best WHERE p BETWEEN 0 AND 1 GROUP BY 1", _BEST)
@@ -158,25 +158,25 @@ def _(s, d):
 
 @query(
     "bin_best_pqtn",
-    "SELECT DISTINCT snp, chr, pos, p FROM (SELECT *, row_number() OVER (PARTITION BY size, chr, pos // size ORDER BY p, snp, pos) AS k FROM best, (VALUES (50000), (500000), (5000000)) v(size) WHERE model = 0 AND p < 0.01) WHERE k = 1",
+    "SELECT DISTINCT snp, chr, pos, p FROM (SELECT *, row_number() OVER (PARTITION BY size, chr, pos // size ORDER BY p, snp, pos) AS k FROM best, (VALUES (50000), (500000), (5000000)) v(size) WHERE p < 0.01) WHERE k = 1",
     _BEST,
 )
 def _(s, d):
-    return M.bin_best(_model(s, d, 0), 0.01, (50_000, 500_000, 5_000_000))
+    return M.bin_best(_best(s, d), 0.01, (50_000, 500_000, 5_000_000))
 
 
-@query("mlmm_subset", "SELECT snp, p FROM best WHERE model = 1 ORDER BY p NULLS LAST, snp LIMIT 500", _BEST)
+@query("mlmm_subset", "SELECT snp, p FROM best ORDER BY p NULLS LAST, snp LIMIT 500", _BEST)
 def _(s, d):
-    return M.top_hits(_model(s, d, 1), 500).select("snp", "p")
+    return M.top_hits(_best(s, d), 500).select("snp", "p")
 
 
 @query(
     "linspace_downsample",
     "SELECT chr, snp, pos FROM x WHERE n <= 100 OR i IN (SELECT k * (n - 1) // 99 FROM range(100) t(k))",
-    _BEST + ", x AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos, snp) - 1 AS i, count(*) OVER (PARTITION BY chr) AS n FROM best WHERE model = 0)",
+    _BEST + ", x AS (SELECT *, row_number() OVER (PARTITION BY chr ORDER BY pos, snp) - 1 AS i, count(*) OVER (PARTITION BY chr) AS n FROM best)",
 )
 def _(s, d):
-    return M.linspace_rows(_model(s, d, 0), 100, "pos", "snp").select("chr", "snp", "pos")
+    return M.linspace_rows(_best(s, d), 100, "pos", "snp").select("chr", "snp", "pos")
 
 
 @query("type1_error", f"SELECT level::DOUBLE AS level, count(*) FILTER (p < level::DOUBLE) AS hits, count(*) AS n, {rnd('count(*) FILTER (p < level::DOUBLE) / count(*)::DOUBLE', 9)} AS rate, {rnd('count(*) FILTER (p < level::DOUBLE) / count(*)::DOUBLE / level::DOUBLE')} AS ratio FROM best, (VALUES (0.05), (0.01), (0.001), (0.0002), (0.00005)) v(level) GROUP BY level", _BEST)

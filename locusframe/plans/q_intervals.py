@@ -19,17 +19,6 @@ a AS (SELECT b.block, chr, start, "end", coalesce(n_genes, 0) AS n_genes, coales
  {", ".join(f"coalesce({s}_gene_{k}, '') AS {s}_gene_{k}, {s}_dist_{k}" for s in ("upstream", "downstream") for k in (1, 2))} FROM blocks b LEFT JOIN n USING (block) LEFT JOIN w USING (block))"""
 
 
-def _genes(s, d):
-    return X.genes(s, d).where("g_start % 7 = 0 AND g_start > 100000")
-
-
-_FEW = "genes_all AS (SELECT 1), genes2 AS (SELECT * FROM genes WHERE g_start % 7 = 0 AND g_start > 100000)"
-
-
-def _few(text: str) -> str:
-    return text.replace("JOIN genes g", "JOIN genes2 g").replace("JOIN genes USING", "JOIN genes2 USING")
-
-
 @query("gene_overlap", "SELECT block, gene_id FROM o", _OVER)
 def _(s, d):
     return I.gene_overlap(X.blocks(s), X.genes(s, d)).select("block", "gene_id")
@@ -40,9 +29,9 @@ def _(s, d):
     return I.gene_flank(X.blocks(s), X.genes(s, d), 20_000).withColumn("k", F.col("k").cast("bigint"))
 
 
-@query("annotate_blocks", "SELECT * FROM a", _FEW + ", " + _few(_ANNOTATED))
+@query("annotate_blocks", "SELECT * FROM a", _ANNOTATED)
 def _(s, d):
-    return I.annotate_blocks(X.blocks(s), _genes(s, d), 20_000)
+    return I.annotate_blocks(X.blocks(s), X.genes(s, d), 20_000)
 
 
 def _comma(c: str) -> str:
@@ -56,10 +45,10 @@ _NEAR = "concat_ws('; ', " + ", ".join(f"CASE WHEN {s}_gene_1 <> '' THEN '{s}: '
     "annotation_summary",
     f"""SELECT block, 'Chr' || chr || ':' || {_comma('start')} || '-' || {_comma('"end"')} AS region, status,
  CASE status WHEN 'overlapping' THEN genes WHEN 'intergenic' THEN {_NEAR} ELSE 'no genes within reach' END AS summary FROM a""",
-    _FEW + ", " + _few(_ANNOTATED),
+    _ANNOTATED,
 )
 def _(s, d):
-    return I.annotation_summary(I.annotate_blocks(X.blocks(s), _genes(s, d), 20_000))
+    return I.annotation_summary(I.annotate_blocks(X.blocks(s), X.genes(s, d), 20_000))
 
 
 @query("consolidate", """SELECT b.block, b.chr, b.start, b."end", h.f AS hap_f FROM blocks b LEFT JOIN (SELECT chr, start, "end", block % 5 AS f FROM blocks WHERE block % 2 = 0) h USING (chr, start, "end")""")
@@ -130,10 +119,10 @@ def _(s, d):
     return I.snps_in_blocks(b, X.variants(X.geno(s, d))).select("block", "variant")
 
 
-@query("lead_window", "SELECT s.variant AS seed, v.variant FROM v s JOIN v ON v.chr = s.chr AND s.variant % 10 = 0 AND abs(v.pos - s.pos) <= 60000", "v AS (SELECT DISTINCT variant, chr, pos FROM geno)")
+@query("lead_window", "SELECT s.variant AS seed, v.variant FROM v s JOIN v ON v.chr = s.chr AND abs(v.pos - s.pos) <= 60000", "v AS (SELECT DISTINCT variant, chr, pos FROM geno)")
 def _(s, d):
     v = X.variants(X.geno(s, d))
-    return I.lead_windows(v.where("variant % 10 = 0").select(F.col("variant").alias("seed"), "chr", F.col("pos").alias("seed_pos")), v, 60_000).select("seed", "variant")
+    return I.lead_windows(v.select(F.col("variant").alias("seed"), "chr", F.col("pos").alias("seed_pos")), v, 60_000).select("seed", "variant")
 
 
 @query("pair_within_dist", "SELECT a.chr, a.variant AS a, b.variant AS b, b.pos - a.pos AS dist FROM v a JOIN v b ON a.chr = b.chr AND b.pos - a.pos BETWEEN 0 AND 100000 AND (a.pos < b.pos OR a.variant < b.variant)", "v AS (SELECT DISTINCT variant, chr, pos FROM geno)")

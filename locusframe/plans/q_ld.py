@@ -109,10 +109,48 @@ def _(s, d):
 
 @query("peak_blocks")
 def _(s, d):
-    seeds = X.variants(X.geno(s, d)).where("variant % 30 = 0").select(F.col("variant").alias("seed"), "chr", F.col("pos").alias("seed_pos"))
-    return rounded(L.peak_blocks(X.geno(s, d), seeds, 300_000).withColumn("members", F.concat_ws(",", "members")), "mean_r2")
+    seeds = X.variants(X.geno(s, d)).select(F.col("variant").alias("seed"), "chr", F.col("pos").alias("seed_pos"))
+    return rounded(L.peak_blocks(X.geno(s, d), seeds, 300_000).withColumns({c: F.concat_ws(",", c) for c in ("members", "lead")}), "mean_r2")
 
 
 @query("ld_prune")
 def _(s, d):
     return L.ld_prune(X.geno(s, d))
+
+
+@query("genomewide_blocks")
+def _(s, d):
+    return rounded(L.genomewide_blocks(X.geno(s, d)).withColumn("members", F.concat_ws(",", "members")), "mean_r2")
+
+
+_LEAD60 = "l AS (SELECT b.chr, b.variant, b.pos, corr(a.dosage, b.dosage) ** 2 AS r2 FROM geno a JOIN geno b ON a.sample = b.sample AND a.chr = b.chr AND a.variant = 60 GROUP BY ALL)"
+
+
+@query("ld_clusters", 'SELECT chr, min(pos) AS start, max(pos) AS "end", count(*)::INT AS n_snps, round(avg(r2), 6) + 0 AS mean_r2 FROM l WHERE r2 >= 0.6 GROUP BY chr', _LEAD60)
+def _(s, d):
+    g = X.geno(s, d)
+    return rounded(L.ld_clusters(L.r2_to_lead(g, 60).join(X.variants(g), "variant"), 0.6), "mean_r2")
+
+
+@query(
+    "extract_block",
+    "SELECT sample, variant, dosage FROM geno JOIN st USING (variant) WHERE v > 1e-12 AND least(p, 1 - p) > 0.4::DOUBLE AND chr = 1",
+    "st AS (SELECT variant, var_pop(dosage) AS v, avg(dosage) / 2 AS p FROM geno GROUP BY variant)",
+)
+def _(s, d):
+    g = X.geno(s, d)
+    return L.extract_block(g, X.variants(g).where("chr = 1"), least_maf=0.4).select("sample", "variant", "dosage")
+
+
+@query(
+    "ld_decay_by_chr",
+    f"SELECT chr, bin, {rnd('min(lo + (bin + 0.5::DOUBLE) * w) / 1000')} AS dist_kb, count(*) AS n_pairs, {rnd('quantile_cont(r2, 0.5)')} AS median_r2, {rnd('avg(r2)')} AS mean_r2 FROM b GROUP BY ALL HAVING count(*) >= 5",
+    _R + ", sp AS (SELECT chr, min(dist) AS lo, greatest((max(dist) - min(dist)) / 50::DOUBLE, 1e-9::DOUBLE) AS w FROM p2 GROUP BY chr), b AS (SELECT p2.*, lo, w, least(49, floor((dist - lo) / w))::INT AS bin FROM p2 JOIN sp USING (chr))",
+)
+def _(s, d):
+    return rounded(L.decay_by_chr(X.geno(s, d)), "dist_kb", "median_r2", "mean_r2")
+
+
+@query("local_ld", f"SELECT a, b, dist, {rnd('r2')} AS r2 FROM p2 WHERE chr = 2 AND a BETWEEN 55 AND 65 AND b BETWEEN 55 AND 65", _R)
+def _(s, d):
+    return rounded(L.local_ld(X.geno(s, d), 60).select("a", "b", "dist", "r2"), "r2")

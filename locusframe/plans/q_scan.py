@@ -9,13 +9,19 @@ from ..operators import scan as S
 from . import fixtures as X
 from .registry import query, rnd, rounded
 
-_SCAN = """i AS (SELECT variant, chr, pos, sample, y, coalesce(dosage, avg(dosage) OVER (PARTITION BY variant), 0) AS x FROM geno JOIN pheno USING (sample)),
-a AS (SELECT variant, chr, pos, count(*) AS n, regr_slope(y, x) AS beta, regr_syy(y, x) AS syy, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy FROM i GROUP BY ALL),
-sc AS (SELECT *, sqrt(greatest(syy - beta * sxy, 0) / (n - 2) / sxx) AS se, beta / sqrt(greatest(syy - beta * sxy, 0) / (n - 2) / sxx) AS t FROM a)"""
+_SCAN = """yy AS (SELECT sample, round(y * 1000) - (SELECT round(avg(round(y * 1000))) FROM pheno) AS y FROM pheno),
+w AS (SELECT count(*)::DOUBLE AS n, sum(y) AS ty, sum(y * y) AS tyy FROM yy),
+a AS (SELECT variant, chr, pos, count(*)::DOUBLE AS k, sum(dosage) AS x, sum(dosage * dosage) AS xx, sum(y) AS sy, sum(dosage * y) AS xy FROM geno JOIN yy USING (sample) WHERE dosage IS NOT NULL GROUP BY ALL),
+b AS (SELECT *, k * xx - x * x AS sxx, k * xy - x * sy AS sxy FROM a, w),
+s1 AS (SELECT *, sxy / sxx AS beta FROM b),
+s2 AS (SELECT *, sqrt(greatest((n * tyy - ty * ty) / n - beta * sxy / k, 0) / (n - 2) / (sxx / k)) AS se FROM s1),
+sc AS (SELECT variant, chr, pos, n::BIGINT AS n, beta, se, beta / se AS t FROM s2)"""
 
 
 def _scan(s, d):
-    return S.ols_scan(X.geno(s, d), X.pheno(s, d))
+    """Of the trait in thousandths, so that all sums are of whole numbers."""
+    y = X.pheno(s, d).select("sample", F.round(F.col("y") * 1000).alias("y"))
+    return S.ols_scan(X.geno(s, d), y)
 
 
 @query("ols_scan_t", f"SELECT variant, chr, pos, {rnd('t')} AS t FROM sc", _SCAN)
