@@ -22,10 +22,9 @@ WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 8
-#: Labelled documents of each language that training sees at most, and windows of each document.
+#: Labelled documents of each language that training sees at most; all their windows count.
 TRAIN_DOCS = 400
-TRAIN_WINDOWS = 4
-EPOCHS = 6
+EPOCHS = 3
 
 
 @dataclass
@@ -73,7 +72,7 @@ def log_probabilities(net: Net, x: np.ndarray) -> np.ndarray:
     return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
-def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, window: int = WINDOW, per_doc: int = TRAIN_WINDOWS) -> Net:
+def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, window: int = WINDOW) -> Net:
     """Fit on ``(language, text)`` rows with Adam; the same rows give the same net."""
     rng = np.random.default_rng(seed)
     langs = sorted({r[0] for r in rows})
@@ -81,8 +80,6 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, wind
     xs, ys = [], []
     for lang, text in sorted(rows):
         w = windows_of(np.frombuffer(text.encode(), np.uint8), window)
-        if len(w) > per_doc:
-            w = w[rng.choice(len(w), per_doc, replace=False)]
         xs.append(w)
         ys += [code[lang]] * len(w)
     f = FILTERS * len(WIDTHS)
@@ -138,12 +135,13 @@ def train(rows: list[tuple[str, str]], seed: int = 7, epochs: int = EPOCHS, wind
 def training_rows(docs: DataFrame, per_language: int = TRAIN_DOCS, text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
     """At most ``per_language`` labelled texts of each language, those with the smallest hashes of all the table.
 
-    The hashes are picked first and the texts fetched in a second scan, so no text is shuffled for it.
+    The hashes are picked first and the texts fetched in a second scan; repeated
+    texts are reduced to one before they are collected.
     """
     source = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     kept = _smallest(source, per_language)
-    rows = source.join(F.broadcast(kept), ["lang", "h"]).select("lang", "text").collect()
-    return sorted({(r[0], r[1]) for r in rows})
+    rows = source.join(F.broadcast(kept), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text")).collect()
+    return sorted({(r[0], r[2]) for r in rows})
 
 
 def _smallest(source: DataFrame, k: int) -> DataFrame:
@@ -173,7 +171,7 @@ def identify(spark: SparkSession, docs: DataFrame, net: Net, id_col: str = "doc_
     weighted by their filled bytes. Null and empty texts, and any text where the
     net has no language, are ``und`` with confidence 0; ties go to the language
     that comes first by name; null ids and repeated rows are kept; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read, whatever their names.
     """
     shared = spark.sparkContext.broadcast(net)
     schema = pa.schema([("doc_id", pa.int64()), ("predicted", pa.string()), ("confidence", pa.float64()), ("n_windows", pa.int64())])
