@@ -1,5 +1,7 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
+A rule without a whole token is found by its longest literal, by one automaton.
+
 Rule syntax: ``||host`` anchors at a host or its subdomains, ``|`` at either end
 of the URL, ``*`` is any run, ``^`` a separator or the end, a leading ``@@``
 makes an exception. Matching ignores ASCII case. A URL is blocked if a blocking
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,17 +69,29 @@ def literal_tokens(rule: str) -> list[str]:
     return found
 
 
-def build_index(rules: Sequence[str], frequency: dict[str, int]) -> tuple[dict[str, list[int]], list[int]]:
-    """Token to the rules that it is the rarest of, and the rules without a usable token. Ties go to the longer, then the smaller token."""
+def open_literal(rule: str) -> str:
+    """The longest run of plain characters of a rule, which every matching URL has somewhere; empty if it has none."""
+    body = rule[2:] if rule.startswith("@@") else rule
+    return max(re.split(r"[*^|]+", body.lower()), key=len)
+
+
+def build_index(rules: Sequence[str], frequency: dict[str, int]) -> tuple[dict[str, list[int]], dict[str, list[int]], list[int]]:
+    """Token to the rules that it is the rarest of; literal to the rules without a usable token; rules without either.
+
+    Ties go to the longer, then the smaller token.
+    """
     index: dict[str, list[int]] = {}
+    literals: dict[str, list[int]] = {}
     always = []
     for k, rule in enumerate(rules):
         tokens = literal_tokens(rule)
         if tokens:
             index.setdefault(min(tokens, key=lambda t: (frequency.get(t, 0), -len(t), t)), []).append(k)
+        elif open_literal(rule):
+            literals.setdefault(open_literal(rule), []).append(k)
         else:
             always.append(k)
-    return index, always
+    return index, literals, always
 
 
 def token_frequency(pages: DataFrame, rules: Sequence[str], url_col: str = "url") -> dict[str, int]:
@@ -94,11 +109,12 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[str] = DE
 
     ``rule`` is the number of the first exception that matches, else of the
     first blocking rule, else null; ``n_matched`` counts all that match. Null
-    and empty URLs match nothing; null ids and repeated rows are kept; an empty
-    table gives no rows; other columns are not read. The rules are part of the
-    plan; their number does not depend on the data.
+    and empty URLs match nothing; a URL of any length is matched whole; null ids
+    and repeated rows are kept; an empty table gives no rows; other columns are
+    not read, whatever their names. The rules are part of the plan; their number
+    does not depend on the data.
     """
-    index, always = build_index(rules, token_frequency(pages, rules, url_col))
+    index, literals, always = build_index(rules, token_frequency(pages, rules, url_col))
     compiled = [compile_rule(r) for r in rules]
     schema = pa.schema([("page_id", pa.int64()), ("blocked", pa.bool_()), ("rule", pa.int32()), ("n_matched", pa.int32())])
     state: dict = {}
@@ -106,6 +122,10 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[str] = DE
     def kernel(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         if not state:
             state["rx"] = [re.compile(x, re.DOTALL).search for _, x in compiled]
+            state["a"] = ahocorasick.Automaton()
+            for s, ks in literals.items():
+                state["a"].add_word(s, ks)
+            state["a"].make_automaton()
         rx, blocked, first, number = state["rx"], [], [], []
         for url in b.column(1).to_pylist():
             hit = []
@@ -114,6 +134,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[str] = DE
                 run = list(always)
                 for t in set(TOKEN.findall(u)):
                     run += index.get(t, ())
+                if literals:
+                    run += {k for _, ks in state["a"].iter(u) for k in ks}
                 hit = sorted(k for k in run if rx[k](u))
             allow = [k for k in hit if compiled[k][0]]
             blocked.append(bool(hit) and not allow)
