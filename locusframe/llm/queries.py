@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import brown_lm, decontam, lang_cnn, license_scan, ngram_join, packing, quality_forest, token_count, toxicity, url_rules
@@ -28,7 +27,7 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing.pack(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,10 +51,6 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,8 +64,7 @@ QUERIES = {
         op8_decontamination,
         op9_lm_scoring,
         op10_license_scans,
-        pipeline,
     )
 }
 
-ORACLE_SQL = {"op1_url_filters": url_rules.oracle_sql(), "op4_ngram_join": ngram_join.oracle_sql(), "op5_packing": packing.oracle_sql()}
+ORACLE_SQL = {"op1_url_filters": url_rules.oracle_sql(), "op4_ngram_join": ngram_join.oracle_sql()}
