@@ -2,7 +2,9 @@
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet to
 the shared checkpoint folder and read again as the next one's ``docs``. All but
-the last return the columns of ``documents``.
+the last return the columns of ``documents``, whatever else those are called.
+Each stage handles an empty table, repeated rows and texts of any length as its
+operator says.
 """
 
 from __future__ import annotations
@@ -16,28 +18,28 @@ from locusframe.llm.common import ensure_checkpoint_dir, read
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go; null and empty texts stay."""
     return toxicity.drop_toxic(spark, docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the isolation forest over rule statistics rejects go."""
+    """Documents that the isolation forest over rule statistics rejects go, and with them null and wordless texts once there is a threshold."""
     return quality_forest.keep_good(spark, docs, quality_forest.train(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar n-gram sets stays."""
+    """One document of each group of similar n-gram sets stays; rows with a null id or no words too."""
     return ngram_join.keep_one(spark, docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a test question or answer go."""
+    """Documents with a test question or answer, or a block of one, go; rows with a null id or text stay."""
     return decontam.drop_contaminated(spark, docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their bins."""
-    return packing.pack(docs)
+    return packing.pack(spark, docs)
 
 
 STAGES = [
@@ -48,7 +50,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No SQL expresses the classifiers, so the pipeline is tested against a brute-force version.
+#: No SQL expresses the classifiers; ``tests/llm`` runs each stage against a brute-force version.
 ORACLE_SQL = None
 
 
