@@ -54,7 +54,7 @@ def _each(spark, docs):
         "op2": lang_cnn.identify(spark, docs, lang_cnn.train(lang_cnn.training_rows(docs), epochs=1)),
         "op3": toxicity.score(spark, docs, toxicity.train(docs, labels)),
         "op4": ngram_join.similar_groups(spark, docs),
-        "op5": packing.pack(docs),
+        "op5": packing.pack(spark, docs),
         "op6": token_count.token_counts(spark, docs),
         "op7": quality_forest.judge(spark, docs, quality_forest.train(docs, labels)),
         "op8": decontam.find_leaks(spark, docs, bench),
@@ -70,7 +70,7 @@ def test_hard_rows(spark, hard):
     assert {tuple(r) for r in got["op4"]} == {(1, 1, 1), (2, 1, 1), *((k, k, 0) for k in (3, 4, 5, 6, 7))} and len(got["op4"]) == 7
     assert {r.predicted for r in got["op2"] if r.doc_id in (3, 4)} == {"und"}
     assert [(r.n_tokens, r.n_bytes) for r in got["op6"] if r.doc_id in (3, 4)] == [(0, 0), (0, 0)]
-    assert sum(r.n_tokens - 1 for r in got["op5"] if r.doc_id == 5) == 120_000
+    assert sum(r.n_tokens - 1 for r in got["op5"] if r.doc_id == 5) == next(r.n_tokens for r in got["op6"] if r.doc_id == 5)
     assert sorted(r.doc_id for r in got["op8"]) == [1, 2, 2]
     assert all(r.perplexity is None for r in got["op9"] if r.doc_id in (3, 4, 6))
     assert got["op10"] == []
@@ -225,10 +225,71 @@ def test_leaks_against_brute_force(spark, monkeypatch, room):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [8, 9, 10] and len(kept) == 4
 
 
-def test_bins_never_overflow(spark):
-    docs = spark.createDataFrame([(k, "w " * (k * 37 % 900 + 1)) for k in range(300)], "doc_id bigint, text string")
-    full = packing.pack(docs, 256).groupBy("shard", "class", "bin").agg({"n_tokens": "sum"}).collect()
-    assert max(r[3] for r in full) <= 256
+def _packed(lengths: list, shards: int, capacity: int) -> set:
+    """The pieces of ``(doc_id, n)`` and their bins, one after the other."""
+    pieces = []
+    for doc, n in lengths:
+        for piece, first in enumerate(range(0, n, capacity - 1)):
+            size = min(capacity - 1, n - first) + 1
+            pieces.append((doc, piece, first, size, capacity // size, (n if doc is None else doc) % shards))
+    out, seen = [], Counter()
+    for p in sorted(pieces, key=lambda p: (p[0] is not None, p[0] or 0, p[1], p[3])):
+        k = seen[p[4:]]
+        seen[p[4:]] += 1
+        out.append((*p, k // p[4], k % p[4]))
+    return sorted(out, key=str)
+
+
+def test_packing_against_brute_force(spark):
+    lengths = [(k % 250 if k % 41 else None, k * 37 % 900) for k in range(300)]
+    frame = spark.createDataFrame(lengths, "doc_id bigint, n bigint")
+    for shards in (1, 3):
+        got = packing.packed(frame, shards, 256)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == _packed(lengths, shards, 256)
+        full = got.groupBy("shard", "class", "bin").agg({"n_tokens": "sum"}).collect()
+        assert max(r[3] for r in full) <= 256
+    c = token_count.Counter(token_count.load_ranks())
+    docs = spark.read.parquet(f"{oracle.SF001}/documents.parquet").select("doc_id", "text").collect()
+    wanted = _packed(list(zip((r.doc_id for r in docs), token_count.counted(pa.array([r.text for r in docs]), c).tolist())), 1, packing.CAPACITY)
+    assert sorted((tuple(r) for r in queries.QUERIES["op5_packing"](spark, oracle.SF001).collect()), key=str) == wanted
+
+
+def test_rules_without_a_whole_token_are_found_by_literals():
+    index, literals, always = url_rules.build_index(["phishing", "*a*longer*", "||x.com^", "^*^"], {})
+    assert literals == {"phishing": [0], "longer": [1]} and always == [3] and list(index) == ["com"]
+
+
+def _language(net, text: str) -> tuple:
+    """Language and confidence by plain loops over windows, places and filters."""
+    data = text.encode()
+    total = np.zeros(len(net.langs))
+    top = max(lang_cnn.WIDTHS)
+    for a in range(0, len(data), lang_cnn.WINDOW):
+        part = data[a : a + lang_cnn.WINDOW]
+        x = part + bytes(lang_cnn.WINDOW - len(part))
+        hidden = np.full(net.conv.shape[1], -np.inf)
+        for k in range(len(x)):
+            row = np.concatenate([net.embed[x[k + j]] if k + j < len(x) else np.zeros(lang_cnn.EMBED) for j in range(top)])
+            hidden = np.maximum(hidden, row @ net.conv)
+        out = np.maximum(hidden + net.bias, 0) @ net.out + net.out_bias
+        total += (out - out.max() - np.log(np.exp(out - out.max()).sum())) * len(part)
+    p = np.exp(total / len(data) - (total / len(data)).max())
+    return net.langs[int(p.argmax())], float((p / p.sum()).max())
+
+
+def test_language_on_held_out_documents(spark):
+    """Plain loops give the same; documents that training has not seen are right; ties go to the first name."""
+    docs = spark.read.parquet(f"{oracle.SF01}/documents.parquet").select("doc_id", "text", "lang")
+    net = lang_cnn.train(lang_cnn.training_rows(docs.where("doc_id % 2 = 0")))
+    held = {r.doc_id: (r.text, r.lang) for r in docs.where("doc_id % 2 = 1 AND length(text) > 20").collect()}
+    got = {r.doc_id: r for r in lang_cnn.identify(spark, docs.where("doc_id % 2 = 1 AND length(text) > 20"), net).collect()}
+    assert sum(got[k].predicted == held[k][1] for k in held) >= 0.95 * len(held)
+    for k in sorted(held, key=lambda k: len(held[k][0]))[:25]:
+        lang, p = _language(net, held[k][0])
+        assert got[k].predicted == lang and math.isclose(got[k].confidence, p, rel_tol=1e-3)
+    flat = lang_cnn.Net(["a", "b"], net.embed, net.conv, net.bias, np.zeros((len(net.bias), 2), np.float32), np.zeros(2, np.float32))
+    (tie,) = lang_cnn.identify(spark, spark.createDataFrame([(1, "text")], "doc_id bigint, text string"), flat).collect()
+    assert tie.predicted == "a" and tie.confidence == 0.5
 
 
 def test_language_and_license(spark):
@@ -335,6 +396,78 @@ def test_perplexities_against_brute_force(spark, head, table):
         assert math.isclose(got[k].perplexity, math.exp(-lp / 50), rel_tol=1e-9)
 
 
+def _statistics(text: str | None) -> list:
+    t = text or ""
+    words = [re.findall(r"[0-9a-z_\x80-\U0010ffff]+", line.lower()) for line in t.split("\n")]
+    lines = [tuple(w) for w in words if w]
+    w = [x for line in lines for x in line]
+    if not w:
+        return [-1.0] * 9
+    some = len(w) + 8
+    pairs = list(zip(w, w[1:])) or [w]
+    solid = sum(c not in " \t\r\n" for c in t) + 64
+    letters = sum(c.isascii() and c.isalpha() for c in t) + 64
+    size = [len(x.encode()) for x in w]
+    again = lambda x: (len(x) - len(set(map(tuple, x)))) / (len(x) + 8)
+    return [
+        (sum(size) + 40) / some, sum(c in "#$%&*|~^=<>{}[]\\@+" for c in t) / solid, sum("A" <= c <= "Z" for c in t) / letters, sum(a == b for a, b in zip(w, w[1:])) / some, again(pairs),
+        sum(c in "!?" for c in t) / some, (sum(c in ".,;:" for c in t) + 1.2) / some, (sum(n <= 3 for n in size) + 2.4) / some, again(lines),
+    ]
+
+
+def _forest_score(f, x: np.ndarray) -> float:
+    z = np.minimum(np.abs(x - f.middle) / f.spread, 4).astype(np.float32)
+    z = np.append(z, z.max())
+    paths = []
+    for feature, cut, path in zip(f.feature, f.cut, f.path):
+        k = 0
+        while feature[k] >= 0:
+            k = 2 * k + 1 if z[feature[k]] < cut[k] else 2 * k + 2
+        paths.append(path[k])
+    return 2 ** -(np.mean(paths) / f.norm)
+
+
+def test_quality_against_brute_force(spark):
+    """Statistics by plain Python, and each tree walked by itself; a score at the threshold is kept."""
+    docs, labels = (spark.read.parquet(f"{oracle.SF001}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality_forest.train(docs, labels)
+    text = dict(docs.select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in quality_forest.judge(spark, docs, forest).collect()}
+    assert set(got) == set(text)
+    for k, t in text.items():
+        x = _statistics(t)
+        assert np.allclose([got[k][c] for c in quality_forest.STATISTICS], x, rtol=1e-5, atol=1e-6), k
+        assert math.isclose(got[k].score, 1.0 if x[0] < 0 else _forest_score(forest, np.array(x, np.float32)), rel_tol=1e-4), k
+    forest.threshold = max(r.score for r in got.values())
+    assert all(r.keep for r in quality_forest.judge(spark, docs, forest).collect())
+
+
+def test_toxic_scores_against_brute_force(spark):
+    """Features found in each text by plain search, and the label model's independent case by Bayes' rule; a score at the threshold is not toxic."""
+    docs, labels = (spark.read.parquet(f"{oracle.SF001}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(spark, docs, model).collect()}
+    scores = {r.doc_id: _toxic_score(model, r.text) for r in docs.collect()}
+    for k, v in scores.items():
+        assert math.isclose(got[k].score, 1 / (1 + math.exp(-v)), rel_tol=1e-6) and got[k].toxic == (v > model.threshold), k
+    model.threshold = max(scores.values())
+    assert not any(r.toxic for r in toxicity.score(spark, docs, model).collect())
+    votes = np.array([[1, 0], [0, 1], [0, 0], [0, -1], [1, 1]] * 40, np.float32)
+    known = np.array([1, 1, 0, 0, 1] * 40, bool)
+    post, accuracy = toxicity.label_model(votes, 0.4, known=known)
+    assert (post[known] > 0.9).all() and (post[~known] < 0.5).all() and (accuracy > 0.9).all()
+
+
+def _toxic_score(model, text: str | None) -> float:
+    t = " " + " ".join(re.findall(r"[0-9a-z_\x80-\U0010ffff]+", (text or "").lower())) + " "
+    t = t.encode().decode("latin-1")
+    total = model.bias
+    for f, w in zip(model.features, model.weight):
+        times = len(re.findall("(?=" + re.escape(f.removeprefix(toxicity.TWICE)) + ")", t))
+        total += w * (times >= 1 + f.startswith(toxicity.TWICE))
+    return total
+
+
 @pytest.mark.parametrize("column, op", [("toxic", toxicity), ("quality", quality_forest)])
 def test_held_out_labels(spark, column, op):
     docs, labels = (spark.read.parquet(f"{oracle.SF01}/{t}.parquet") for t in ("documents", "labels"))
