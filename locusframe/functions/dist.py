@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -78,6 +79,18 @@ def beta_ppf(q, a, b):
     return (lo + hi) / 2
 
 
+_GRID = np.linspace(-40, 40, 400_001)
+_table: dict = {}
+
+
+def _cdf(z: np.ndarray) -> np.ndarray:
+    """The normal distribution function from a table; the error is below 1e-8."""
+    if "cdf" not in _table:
+        _table["cdf"] = norm_cdf(_GRID)
+    return np.interp(z, _GRID, _table["cdf"])
+
+
+@lru_cache(maxsize=4096)
 def studentized_range_sf(q: float, k: int, df: float) -> float:
     """Upper tail of the studentized range, by quadrature over the scale and the location."""
     if q <= 0:
@@ -86,10 +99,22 @@ def studentized_range_sf(q: float, k: int, df: float) -> float:
     phi = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
     s = np.linspace(1e-3, 1 + 8 / math.sqrt(2 * df) + 1, 301)
     log_f = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
-    inner = np.array([np.trapezoid(k * phi * (norm_cdf(z) - norm_cdf(z - q * v)) ** (k - 1), z) for v in s])
+    inner = np.trapezoid(k * phi * (_cdf(z) - _cdf(z - q * s[:, None])) ** (k - 1), z, axis=1)
     return float(min(1.0, max(0.0, 1 - np.trapezoid(np.exp(log_f) * inner, s))))
 
 
+@lru_cache(maxsize=4096)
+def studentized_range_isf(alpha: float, k: int, df: float) -> float:
+    """The studentized range that is exceeded with probability ``alpha``, by bisection."""
+    lo, hi = 0.0, 4.0
+    while studentized_range_sf(hi, k, df) > alpha:
+        hi *= 2
+    for _ in range(40):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if studentized_range_sf(mid, k, df) > alpha else (lo, mid)
+    return hi
+
+
 def lambda_gc(p, trim: bool = False, least: int = 50) -> float | None:
     """Genomic inflation of p-values in (0, 1]; None below ``least`` of them. ``trim`` drops the outer twentieths of 500 or more."""
     p = np.asarray(p, float)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dist import f_sf, studentized_range_sf
+from ..functions.dist import f_sf, studentized_range_isf
 from .multitest import bh_fdr, neg_log10
 
 #: Least calls of a variant in a block, and as a share of the samples.
@@ -32,17 +32,16 @@ def block_calls(g: DataFrame, members: DataFrame, least_calls: int = LEAST_CALLS
     to even.
     """
     n = g.agg(F.countDistinct("sample").alias("_n"))
-    x = members.select("block", "variant").distinct().join(g.select("variant", "pos", "sample", "dosage"), "variant")
-    enough = x.groupBy("block", "variant").agg(F.count("dosage").alias("_c")).crossJoin(F.broadcast(n))
-    enough = enough.where(F.col("_c") >= F.greatest(F.lit(least_calls), F.floor(F.col("_n") * LEAST_SHARE))).select("block", "variant")
-    wide = enough.groupBy("block").count().where("count >= 2").select("block")
-    x = x.join(enough.join(wide, "block", "left_semi"), ["block", "variant"], "left_semi")
-    kept = x.groupBy("block", "sample").agg((1 - F.count("dosage") / F.count("*")).alias("_m")).where(F.col("_m") <= most_missing)
-    full = kept.groupBy("block").count().where("count >= 5").select("block")
-    x = x.join(kept.join(full, "block", "left_semi").select("block", "sample"), ["block", "sample"], "left_semi")
-    mean = x.groupBy("block", "variant").agg(F.avg("dosage").alias("_mean"))
-    call = F.bround(F.coalesce("dosage", F.round("_mean", 9), F.lit(0.0))).cast("int")
-    return x.join(mean, ["block", "variant"]).select("block", "variant", "pos", "sample", call.alias("call"))
+    x = members.select("block", "variant").distinct().join(g.select("variant", "pos", "sample", "dosage"), "variant").crossJoin(F.broadcast(n))
+    # one shuffle by block serves all windows; a block has its samples times its variants
+    x = x.repartition("block")
+    of_variant, of_sample, whole = (Window.partitionBy("block", *c) for c in (("variant",), ("sample",), ()))
+    x = x.withColumn("_c", F.count("dosage").over(of_variant)).where(F.col("_c") >= F.greatest(F.lit(least_calls), F.floor(F.col("_n") * LEAST_SHARE)))
+    x = x.withColumn("_m", 1 - F.count("dosage").over(of_sample) / F.count("*").over(of_sample)).withColumn("_v", F.dense_rank().over(whole.orderBy("variant")))
+    x = x.withColumn("_v", F.max("_v").over(whole)).where((F.col("_v") >= 2) & (F.col("_m") <= most_missing))
+    x = x.withColumn("_s", F.dense_rank().over(whole.orderBy("sample"))).withColumn("_s", F.max("_s").over(whole)).where("_s >= 5")
+    call = F.bround(F.coalesce("dosage", F.round(F.avg("dosage").over(of_variant), 9), F.lit(0.0))).cast("int")
+    return x.select("block", "variant", "pos", "sample", call.alias("call"))
 
 
 def check_encoding(calls: DataFrame, encoding: str) -> DataFrame:
@@ -99,10 +98,9 @@ def mlg_calls(g: DataFrame, members: DataFrame, selfing: bool = False, most_miss
 def hap_labels(haps: DataFrame, pheno: DataFrame, least: int = 5) -> DataFrame:
     """``(block, sample, hap, label, y)`` of samples with a trait: ``H1`` is the commonest, ties by the string; those of fewer than ``least`` are ``Other``."""
     x = haps.join(pheno.where(F.col("y").isNotNull() & ~F.isnan("y")).select("sample", "y"), "sample")
-    n = x.groupBy("block", "hap").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    rank = F.row_number().over(Window.partitionBy("block").orderBy(F.desc("_n"), "hap"))
-    names = n.select("block", "hap", F.concat(F.lit("H"), rank).alias("label"))
-    return x.join(names, ["block", "hap"], "left").select("block", "sample", "hap", F.coalesce("label", F.lit("Other")).alias("label"), "y")
+    x = x.repartition("block").withColumn("_n", F.count("*").over(Window.partitionBy("block", "hap")))
+    rank = F.dense_rank().over(Window.partitionBy("block").orderBy(F.desc("_n"), "hap"))
+    return x.select("block", "sample", "hap", F.when(F.col("_n") >= least, F.concat(F.lit("H"), rank)).otherwise("Other").alias("label"), "y")
 
 
 def hap_counts(haps: DataFrame) -> DataFrame:
@@ -255,11 +253,11 @@ def tukey(labelled: DataFrame, alpha: float = 0.05) -> DataFrame:
             return pd.DataFrame(columns=["block", "label", "n", "mean", "letters"])
         mse = float(((by["size"] - 1) * by["var"]).sum() / max(df, 1))
         n, m = by["size"].to_numpy(float), by["mean"].to_numpy(float)
-        differ = np.zeros((k, k), bool)
+        differ, least = np.zeros((k, k), bool), studentized_range_isf(alpha, k, df) if k > 1 else 0.0
         for i in range(k):
             for j in range(i + 1, k):
                 se = math.sqrt(max(mse, 1e-300) / 2 * (1 / n[i] + 1 / n[j]))
-                differ[i, j] = differ[j, i] = studentized_range_sf(abs(m[i] - m[j]) / se, k, df) < alpha
+                differ[i, j] = differ[j, i] = abs(m[i] - m[j]) / se > least
         return pd.DataFrame({"block": key[0], "label": by["label"], "n": by["size"], "mean": by["mean"], "letters": letters(differ)})
 
     return labelled.groupBy("block").applyInPandas(one, f"block {fields['block']}, label string, n bigint, mean double, letters string")
