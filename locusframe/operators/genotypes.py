@@ -7,6 +7,8 @@ themselves are not moved for them unless the statistics outgrow a broadcast.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,7 +157,10 @@ def match_samples(geno_ids: DataFrame, pheno: DataFrame, key: str = "id") -> Dat
     """Phenotype rows of genotyped samples, by trimmed id; if none matches, by ids without leading zeros. None at all is an error."""
     a, b = first_ids(geno_ids.select(key), key), first_ids(pheno, key)
     found = b.join(a, key)
-    if not found.isEmpty():
+    n = found.count()
+    if n:
+        if n < a.count():
+            logging.getLogger("locusframe").warning("%d samples are in both tables, others in one", n)
         return found
     bare = F.coalesce(F.nullif(F.ltrim(F.col(key), F.lit("0")), F.lit("")), F.lit("0"))
     found = first_ids(pheno.withColumn(key, bare), key).join(first_ids(geno_ids.select(bare.alias(key)), key), key)

@@ -52,19 +52,36 @@ def gene_flank(blocks: DataFrame, genes: DataFrame, most: int = 500_000, n: int
 
 
 def annotate_blocks(blocks: DataFrame, genes: DataFrame, most: int = 500_000, n: int = 2) -> DataFrame:
-    """Each block with its genes, ``n`` flanking ones a side, and a status."""
-    over = gene_overlap(blocks, genes).groupBy("block").agg(F.count("*").alias("n_genes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g_start", "gene_id"))), lambda x: x["gene_id"]), ";").alias("genes"))
+    """Each block with its genes, ``n`` flanking ones a side, and a status.
+
+    Where ``genes`` have a ``description``, so have the block's genes, joined by
+    `` | ``, and the flanking ones.
+    """
+    told = "description" in genes.columns
+    rows = F.array_sort(F.collect_list(F.struct("g_start", "gene_id", *(["description"] if told else []))))
+    over = gene_overlap(blocks, genes).groupBy("block").agg(
+        F.count("*").alias("n_genes"), F.array_join(F.transform(rows, lambda x: x["gene_id"]), ";").alias("genes"), *([F.array_join(F.transform(rows, lambda x: F.coalesce(x["description"], F.lit(""))), " | ").alias("descriptions")] if told else [])
+    )
     flank = gene_flank(blocks, genes, most, n)
-    pick = [(f"{s}_{c}_{k}", s, k, c2) for s in ("upstream", "downstream") for k in range(1, n + 1) for c, c2 in (("gene", "gene_id"), ("dist", "distance"))]
+    if told:
+        flank = flank.join(genes.groupBy("gene_id").agg(F.min("description").alias("description")), "gene_id", "left")
+    kinds = (("gene", "gene_id"), ("dist", "distance"), *((("desc", "description"),) if told else ()))
+    pick = [(f"{s}_{c}_{k}", s, k, c2) for s in ("upstream", "downstream") for k in range(1, n + 1) for c, c2 in kinds]
     wide = flank.groupBy("block").agg(F.count("*").alias("_f"), *(F.max(F.when((F.col("side") == s) & (F.col("k") == k), F.col(c2))).alias(name) for name, s, k, c2 in pick))
     x = blocks.join(over, "block", "left").join(wide, "block", "left")
     status = F.when(F.col("n_genes") > 0, "overlapping").when(F.col("_f") > 0, "intergenic").otherwise("no_genes_nearby")
     return x.select(
-        *blocks.columns, F.coalesce("n_genes", F.lit(0)).alias("n_genes"), F.coalesce("genes", F.lit("")).alias("genes"), status.alias("status"),
-        *(F.coalesce(name, F.lit("")).alias(name) if c2 == "gene_id" else F.col(name) for name, _, _, c2 in pick),
+        *blocks.columns, F.coalesce("n_genes", F.lit(0)).alias("n_genes"), F.coalesce("genes", F.lit("")).alias("genes"), *([F.coalesce("descriptions", F.lit("")).alias("descriptions")] if told else []), status.alias("status"),
+        *(F.col(name) if c2 == "distance" else F.coalesce(name, F.lit("")).alias(name) for name, _, _, c2 in pick),
     )
 
 
+def narrative(annotated: DataFrame, eta: DataFrame) -> DataFrame:
+    """One row: blocks, chromosomes, genes within blocks, and the block of the largest ``eta2``."""
+    x = annotated.join(eta.select("block", "eta2"), "block", "left")
+    return x.agg(F.count("*").alias("n_blocks"), F.countDistinct("chr").alias("n_chr"), F.sum("n_genes").alias("n_genes"), F.max(F.struct(F.col("eta2"), (-F.col("block")).alias("_b")))["_b"].alias("_b"), F.max("eta2").alias("top_eta2")).select("n_blocks", "n_chr", "n_genes", (-F.col("_b")).alias("top_block"), "top_eta2")
+
+
 def annotation_summary(annotated: DataFrame) -> DataFrame:
     """One readable row for each block."""
     kb = lambda c: F.concat(F.round(F.col(c) / 1000, 1).cast("string"), F.lit(" kb"))
@@ -95,15 +112,33 @@ def iou_match(a: DataFrame, b: DataFrame, least: float = 0.5) -> DataFrame:
     return best.select("id", F.col("_x.b_id").alias("b_id"), F.col("_x.iou").alias("iou"))
 
 
-def merge_blocks(x: DataFrame, gap: int | None = None) -> DataFrame:
-    """Islands of spans whose start lies within ``gap`` of the running end. Without ``gap``: a tenth of the median length, 1000 at least."""
+def merge_blocks(x: DataFrame, gap: int | None = None, leads: bool = False) -> DataFrame:
+    """Islands of spans whose start lies within ``gap`` of the running end. Without ``gap``: a tenth of the median length, 1000 at least.
+
+    ``leads`` adds all ids of an island, joined by ``;``, for tables of blocks,
+    and the largest ``n_snps`` where the spans have one.
+    """
     if gap is None:
         mid = x.agg(F.median(F.col("end") - F.col("start"))).first()[0]
         gap = max(int(0.1 * (mid or 0)), 1000)
     order = Window.partitionBy("chr").orderBy("start", "end", "id")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     y = x.withColumn("_new", F.when(F.col("start") <= before + gap, 0).otherwise(1)).withColumn("_k", F.sum("_new").over(order))
-    return y.groupBy("chr", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"), F.min("id").alias("lead")).drop("_k")
+    more = [F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), ";").alias("leads")] if leads else []
+    more += [F.max("n_snps").alias("n_snps")] if leads and "n_snps" in x.columns else []
+    return y.groupBy("chr", "_k").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"), F.min("id").alias("lead"), *more).drop("_k")
+
+
+def block_quality(blocks: DataFrame, g: DataFrame, labelled: DataFrame) -> DataFrame:
+    """``(block, length_kb, n_snps, n_polymorphic, median_maf, mean_maf, eta2, frac_other)`` of blocks and their labels."""
+    from .genotypes import maf_by_encoding, variants_of
+    from .haplotype import eta_squared
+
+    members = snps_in_blocks(blocks.select("block", "chr", "start", "end"), variants_of(g)).select("block", "variant").join(maf_by_encoding(g), "variant", "left")
+    a = members.groupBy("block").agg(F.count("*").alias("n_snps"), F.count_if(F.col("maf") > 0).alias("n_polymorphic"), F.median("maf").alias("median_maf"), F.avg("maf").alias("mean_maf"))
+    other = labelled.groupBy("block").agg(F.avg((F.col("label") == "Other").cast("double")).alias("frac_other"))
+    x = blocks.select("block", ((F.col("end") - F.col("start")) / 1000).alias("length_kb")).join(a, "block", "left").join(eta_squared(labelled.where("label <> 'Other'")), "block", "left").join(other, "block", "left")
+    return x.select("block", "length_kb", F.coalesce("n_snps", F.lit(0)).alias("n_snps"), F.coalesce("n_polymorphic", F.lit(0)).alias("n_polymorphic"), "median_maf", "mean_maf", "eta2", "frac_other")
 
 
 def merge_iou(x: DataFrame, least: float = 0.3) -> DataFrame:

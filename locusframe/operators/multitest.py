@@ -99,6 +99,30 @@ def consensus(df: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def thresholds(m: int, meff: int | None = None, alpha: float = 0.05) -> dict[str, float]:
+    """The p below which a test is significant by each rule on numbers of tests."""
+    return {"bonferroni": alpha / max(m, 1)} | ({"meff": alpha / max(meff, 1)} if meff else {})
+
+
+def consensus_by_rule(df: DataFrame, rule: str = "bonferroni", meff: int | None = None, alpha: float = 0.05) -> DataFrame:
+    """:func:`consensus` of hits by ``fdr``, ``bonferroni`` or ``meff`` within each model; most models first, then the best p."""
+    if rule not in ("fdr", "bonferroni", "meff"):
+        raise ValueError(f"no such rule: {rule}")
+    if rule == "fdr":
+        hits = bh_fdr(df, "model").where(F.col("q") <= alpha)
+    else:
+        n = df.groupBy("model").agg(F.count("p").alias("_m"))
+        hits = df.join(F.broadcast(n), "model").where(F.col("p") < (alpha / F.col("_m") if rule == "bonferroni" else F.lit(alpha / max(meff or 1, 1))))
+    return consensus(hits, float("inf")).orderBy(F.desc("n_models"), "best_p", "snp")
+
+
+def subset_for_multilocus(variants: DataFrame, result: DataFrame | None, most: int = 20_000) -> DataFrame:
+    """``variants`` ``(variant, chr, pos)``, those of the smallest p first and of none last, ``most`` of them; without a result the first by place."""
+    if result is None:
+        return variants.orderBy("chr", "pos", "variant").limit(most)
+    return variants.join(result.groupBy("variant").agg(F.min("p").alias("_p")), "variant", "left").orderBy(F.asc_nulls_last("_p"), "chr", "pos", "variant").limit(most).drop("_p")
+
+
 def model_overlap(df: DataFrame, a, b, threshold: float) -> DataFrame:
     """Each SNP as found by ``a`` only, ``b`` only, both or neither, counted."""
     hit = F.col("p") < threshold
@@ -154,6 +178,11 @@ def model_summary(df: DataFrame, alpha: float = 0.05) -> DataFrame:
     )
 
 
+def model_overview(df: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """:func:`model_summary` with each model's untrimmed inflation."""
+    return model_summary(df, alpha).join(lambdas(df, "model"), "model", "left")
+
+
 def qq_points(df: DataFrame, band: bool = False) -> DataFrame:
     """Expected and observed -log10 p; ``band`` adds the 95 % band of each order statistic."""
     x = ranked(df.where("p > 0 AND p <= 1"))
@@ -184,8 +213,9 @@ def hist_bins(df: DataFrame, value: str, bins: int, lo: float, hi: float) -> Dat
     return df.where(F.col(value).between(lo, hi)).groupBy(b.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def bin_best(df: DataFrame, threshold: float, sizes: tuple[int, ...] = (500_000, 5_000_000, 50_000_000)) -> DataFrame:
-    """The best SNP of each window of each size, among those below the threshold, each once."""
+def bin_best(df: DataFrame, threshold: float, sizes: tuple[int, ...] = (500_000, 5_000_000, 50_000_000), exclude: list | None = None) -> DataFrame:
+    """The best SNP of each window of each size, among those below the threshold and not excluded, each once."""
+    df = df.where(~F.col("snp").isin(exclude)) if exclude else df
     x = df.where(F.col("p") < threshold).withColumn("_s", F.explode(F.array(*map(F.lit, sizes)))).withColumn("_w", F.expr("pos div _s"))
     return x.groupBy("_s", "chr", "_w").agg(F.min(F.struct("p", "snp", "pos")).alias("_x")).select(F.col("_x.snp").alias("snp"), "chr", F.col("_x.pos").alias("pos"), F.col("_x.p").alias("p")).distinct()
 

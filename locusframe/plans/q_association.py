@@ -182,3 +182,19 @@ def _(s, d):
 @query("type1_error", f"SELECT level::DOUBLE AS level, count(*) FILTER (p < level::DOUBLE) AS hits, count(*) AS n, {rnd('count(*) FILTER (p < level::DOUBLE) / count(*)::DOUBLE', 9)} AS rate, {rnd('count(*) FILTER (p < level::DOUBLE) / count(*)::DOUBLE / level::DOUBLE')} AS ratio FROM best, (VALUES (0.05), (0.01), (0.001), (0.0002), (0.00005)) v(level) GROUP BY level", _BEST)
 def _(s, d):
     return rounded(rounded(M.type1_error(_best(s, d)), "rate", digits=9), "ratio")
+
+
+@query("model_overview")
+def _(s, d):
+    return rounded(M.model_overview(_best(s, d)), "top_p", "lambda_gc", digits=9)
+
+
+@query(
+    "consensus_by_rule",
+    "SELECT snp, chr, pos, count(DISTINCT model) AS n_models, string_agg(DISTINCT model::VARCHAR, ',' ORDER BY model::VARCHAR) AS detected_by, min(p) AS best_p FROM t JOIN (SELECT model, count(*) AS m FROM t GROUP BY model) USING (model) WHERE p < 100::DOUBLE / m GROUP BY ALL",
+    "t AS (SELECT snp // 8 AS snp, min(chr) AS chr, min(pos) AS pos, model, min(p) AS p FROM pvals GROUP BY snp // 8, model)",
+)
+def _(s, d):
+    """At a level at which models agree on some."""
+    x = X.pvals(s, d).groupBy(F.expr("snp div 8").alias("snp"), "model").agg(F.min("chr").alias("chr"), F.min("pos").alias("pos"), F.min("p").alias("p"))
+    return M.consensus_by_rule(x, alpha=100.0)

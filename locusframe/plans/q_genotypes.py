@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chrom
 from ..operators import genotypes as G
+from ..operators import multitest as M
 from ..operators import traits as T
 from . import fixtures as X
 from .registry import query, rnd, rounded
@@ -218,3 +219,13 @@ def _(s, d):
 @query("yeo_johnson_trait")
 def _(s, d):
     return rounded(T.yeo_johnson(X.pheno(s, d)), "y")
+
+
+@query("maf_histogram", "SELECT least(floor(maf / (0.5::DOUBLE / 20)), 19)::INT AS bin, count(*) AS n FROM (SELECT least(p, 1 - p) AS maf FROM (SELECT sum(dosage) / (2 * count(dosage)) AS p FROM geno GROUP BY variant)) GROUP BY 1")
+def _(s, d):
+    return M.hist_bins(G.snp_stats(X.geno(s, d)), "maf", 20, 0.0, 0.5)
+
+
+@query("scale_2p_clipped", f"SELECT sample, variant, {rnd('coalesce((dosage - 2 * p) / sqrt(2 * p * (1 - p)), 0)')} AS z FROM geno JOIN (SELECT variant, greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, avg(dosage) / 2)) AS p FROM geno GROUP BY variant) USING (variant)")
+def _(s, d):
+    return rounded(G.scale_2p_clipped(X.geno(s, d)).select("sample", "variant", "z"), "z")

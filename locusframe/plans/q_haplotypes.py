@@ -116,3 +116,19 @@ def _(s, d):
     """With fixed weights of the blocks in place of their p."""
     tested = X.blocks(s).select("block", F.expr("pow(10D, -(0.5D + block % 7))").alias("p"))
     return rounded(H.expression_panels(_labels(s, d), tested), "score", "y")
+
+
+_QUALITY = _LABELS + """, mf AS (SELECT variant, least(p, 1 - p) AS maf FROM (SELECT variant, avg(dosage) / 2 AS p FROM geno GROUP BY variant)),
+qa AS (SELECT block, count(*) AS n_snps, count(*) FILTER (maf > 0) AS n_polymorphic, quantile_cont(maf, 0.5) AS median_maf, avg(maf) AS mean_maf FROM mem JOIN mf USING (variant) GROUP BY block),
+qf AS (SELECT block, avg((label = 'Other')::INT) AS frac_other FROM lab GROUP BY block),
+e2 AS (SELECT block, label, count(*) AS n, avg(y) AS mean FROM lab WHERE label <> 'Other' GROUP BY ALL),
+qe AS (SELECT block, CASE WHEN sum(e2.n) >= 5 AND count(*) >= 2 THEN sum(e2.n * (e2.mean - g.m) ** 2) / any_value(g.sst) END AS eta2 FROM e2 JOIN (SELECT block, avg(y) AS m, var_pop(y) * count(y) AS sst FROM lab WHERE label <> 'Other' GROUP BY block) g USING (block) GROUP BY block)"""
+
+
+@query(
+    "block_quality",
+    f"SELECT b.block, (b.\"end\" - b.start) / 1000.0::DOUBLE AS length_kb, n_snps, n_polymorphic, {rnd('median_maf')} AS median_maf, {rnd('mean_maf')} AS mean_maf, {rnd('eta2')} AS eta2, {rnd('frac_other')} AS frac_other FROM blocks b JOIN qa USING (block) LEFT JOIN qe USING (block) LEFT JOIN qf USING (block)",
+    _QUALITY,
+)
+def _(s, d):
+    return rounded(I.block_quality(X.blocks(s), X.geno(s, d), _labels(s, d)), "median_maf", "mean_maf", "eta2", "frac_other")

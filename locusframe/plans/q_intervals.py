@@ -128,3 +128,20 @@ def _(s, d):
 @query("pair_within_dist", "SELECT a.chr, a.variant AS a, b.variant AS b, b.pos - a.pos AS dist FROM v a JOIN v b ON a.chr = b.chr AND b.pos - a.pos BETWEEN 0 AND 100000 AND (a.pos < b.pos OR a.variant < b.variant)", "v AS (SELECT DISTINCT variant, chr, pos FROM geno)")
 def _(s, d):
     return I.pairs_within(X.variants(X.geno(s, d)), 100_000)
+
+
+@query(
+    "described_blocks",
+    "SELECT block, string_agg('about ' || gene_id, ' | ' ORDER BY g_start, gene_id) AS descriptions FROM o GROUP BY block",
+    _OVER,
+)
+def _(s, d):
+    genes = X.genes(s, d).withColumn("description", F.concat(F.lit("about "), "gene_id"))
+    return I.annotate_blocks(X.blocks(s), genes, 20_000).where("n_genes > 0").select("block", "descriptions")
+
+
+@query("narrative", "SELECT 64::BIGINT AS n_blocks, 4::BIGINT AS n_chr, (SELECT count(*) FROM o) AS n_genes, 23 AS top_block, 0.97::DOUBLE AS top_eta2", _OVER)
+def _(s, d):
+    """With a fixed share for each block."""
+    eta = X.blocks(s).selectExpr("block", "(block * 17 % 98) / 100D AS eta2")
+    return I.narrative(I.annotate_blocks(X.blocks(s), X.genes(s, d), 20_000), eta)
