@@ -518,3 +518,13 @@ def test_sql(spark):
     con = oracle.connect(oracle.SF001)
     for name, sql in queries.ORACLE_SQL.items():
         assert oracle.compare(spark, con, queries.QUERIES[name], sql, oracle.SF001) > 0
+
+
+def test_counts_do_not_depend_on_what_is_remembered(monkeypatch):
+    ranks = token_count.load_ranks()
+    texts = [" ".join(f"word{k * j % 97}" for k in range(60)) for j in range(40)]
+    whole = token_count.counted(pa.array(texts), token_count.Counter(ranks))
+    monkeypatch.setattr(token_count, "MEMORY", 30)
+    c = token_count.Counter(ranks)
+    assert [int(token_count.counted(pa.array([t]), c)[0]) for t in texts] == whole.tolist() == [int(c.counts(pa.array([t]))[0]) for t in texts]
+    assert (np.diff(c.hashes.astype(object)) > 0).all() and len(c.hashes) <= 100
