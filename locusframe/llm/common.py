@@ -118,3 +118,9 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", keep: b
     ids = cut(ids.toDF(name).select(F.col(name).cast("bigint").alias(name)))
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, docs[id_col] == F.col(name), "left_semi" if keep else "left_anti")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -39,6 +39,8 @@ BUCKET_ENTRIES = 1_000_000
 _PAIRS = 1_000_000
 #: Bytes of outlines that a place of the filter holds about.
 OUTLINE_BYTES = 4 << 20
+#: Tasks of the filter at most; beyond it a task has several places.
+MAX_TASKS = 20_000
 #: Bytes of sets that a task verifies pairs of about.
 PLACE_BYTES = 12 << 20
 #: Bytes of the places of sets that are broadcast at most; more are joined by a shuffle, with the same result.
@@ -319,8 +321,10 @@ def _filtered(candidates: DataFrame, reps: DataFrame, t: float) -> DataFrame:
                     b.append(kb)
         return pa.table({"ka": pa.array(a, pa.int64()), "kb": pa.array(b, pa.int64())})
 
-    there = side.withColumn("place", place("key"))
-    return by_place.groupBy("place").cogroup(there.groupBy("place")).applyInArrow(run, "ka bigint, kb bigint")
+    # a task a place, which the engine would join into few by their bytes; the work is in the pairs
+    tasks = min(places, MAX_TASKS)
+    there = side.withColumn("place", place("key")).repartition(tasks, "place")
+    return by_place.repartition(tasks, "place").groupBy("place").cogroup(there.groupBy("place")).applyInArrow(run, "ka bigint, kb bigint")
 
 
 def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
