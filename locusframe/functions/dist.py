@@ -115,16 +115,29 @@ def studentized_range_isf(alpha: float, k: int, df: float) -> float:
     return hi
 
 
-def lambda_gc(p, trim: bool = False, least: int = 50) -> float | None:
-    """Genomic inflation of p-values in (0, 1]; None below ``least`` of them. ``trim`` drops the outer twentieths of 500 or more."""
+def lambda_gc(p, trim: bool = False, least: int = 50, times=None) -> float | None:
+    """Genomic inflation of p-values in (0, 1]; None below ``least`` of them. ``trim`` drops the outer twentieths of 500 or more.
+
+    ``times`` counts each value, so that equal ones need not be repeated.
+    """
     p = np.asarray(p, float)
-    p = p[(p > 0) & (p <= 1)]
-    if len(p) < least:
+    n = np.ones(len(p), np.int64) if times is None else np.asarray(times, np.int64)
+    ok = (p > 0) & (p <= 1)
+    order = np.argsort(p[ok], kind="stable")
+    p, n = p[ok][order], n[ok][order]
+    if n.sum() < least:
         return None
-    if trim and len(p) >= 500:
-        lo, hi = np.quantile(p, [0.05, 0.95])
-        inner = p[(p >= lo) & (p <= hi)]
-        p = inner if len(inner) >= least else p
-    p = np.sort(p)
-    mid = p[[(len(p) - 1) // 2, len(p) // 2]]
+    at = lambda p, n, i: p[np.searchsorted(np.cumsum(n), i, "right")]  # noqa: E731 - the value of rank i
+
+    def quantile(q: float) -> float:
+        i = (n.sum() - 1) * q
+        low, high = at(p, n, math.floor(i)), at(p, n, math.ceil(i))
+        return low + (high - low) * (i - math.floor(i))
+
+    if trim and n.sum() >= 500:
+        inner = (p >= quantile(0.05)) & (p <= quantile(0.95))
+        if n[inner].sum() >= least:
+            p, n = p[inner], n[inner]
+    total = int(n.sum())
+    mid = np.array([at(p, n, (total - 1) // 2), at(p, n, total // 2)])
     return float(chi2_isf1(np.minimum(mid, 1 - 1e-16)).mean() / 0.454936423119572)

@@ -165,7 +165,7 @@ def lambdas(df: DataFrame, *keys: str, trim: bool = False, least: int = 50) -> D
     n = df.where("p > 0 AND p <= 1").groupBy(*keys, "p").agg(F.count("*").alias("n"))
 
     def one(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([[*key, lambda_gc(np.repeat(x["p"].to_numpy(), x["n"].to_numpy()), trim, least)]], columns=[*keys, "lambda_gc"])
+        return pd.DataFrame([[*key, lambda_gc(x["p"].to_numpy(), trim, least, x["n"].to_numpy())]], columns=[*keys, "lambda_gc"])
 
     fields = {f.name: f.dataType.simpleString() for f in df.schema}
     return n.groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {fields[k]}" for k in keys) + (", " if keys else "") + "lambda_gc double")

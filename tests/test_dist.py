@@ -37,3 +37,16 @@ def test_inflation():
     assert math.isclose(dist.lambda_gc(p), 1.0, rel_tol=1e-3) and dist.lambda_gc(p[:49]) is None
     assert math.isclose(dist.lambda_gc(p, trim=True), 1.0, rel_tol=1e-3)
     assert dist.lambda_gc(p**2) > 2
+
+
+def test_inflation_of_counted_values():
+    rng = np.random.default_rng(1)
+    p = rng.integers(1, 400, 3000) / 400
+    value, times = np.unique(p, return_counts=True)
+    for trim in (False, True):
+        x = np.sort(p)
+        if trim:
+            lo, hi = np.quantile(x, [0.05, 0.95])
+            x = x[(x >= lo) & (x <= hi)]
+        plain = float(dist.chi2_isf1(x[[(len(x) - 1) // 2, len(x) // 2]]).mean() / 0.454936423119572)
+        assert math.isclose(dist.lambda_gc(p, trim), plain) and math.isclose(dist.lambda_gc(value, trim, times=times), plain)
