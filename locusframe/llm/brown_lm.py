@@ -126,25 +126,30 @@ def _packed(df: DataFrame, kinds: tuple) -> list[np.ndarray]:
     return [np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in enumerate(kinds)]
 
 
+def _held(batches: Iterator[pa.RecordBatch], values) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(values, counts)``: different values that ``values(words)`` gives, as many as a task holds at a time."""
+    held: list[tuple] = []
+    size = 0
+    for b in batches:
+        for _, part in vt.slices(b.column(0)):
+            u, n = np.unique(values(vt.words(part)), return_counts=True)
+            held.append((u, n))
+            size += len(u)
+            if size > _HOLD:
+                u = _gather(*map(list, zip(*held)))
+                held, size = [u], len(u[0])
+                if size > _HOLD // 2:
+                    yield u
+                    held, size = [], 0
+    if held:
+        yield _gather(*map(list, zip(*held)))
+
+
 def _summed(docs: DataFrame, values) -> DataFrame:
     """``(value, n)``: how often each value that ``values(words)`` gives occurs over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-        for b in batches:
-            for _, part in vt.slices(b.column(0)):
-                u, n = np.unique(values(vt.words(part)), return_counts=True)
-                held.append((u, n))
-                size += len(u)
-                if size > _HOLD:
-                    u = _gather(*map(list, zip(*held)))
-                    held, size = [u], len(u[0])
-                    if size > _HOLD // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["value", "n"])
-                        held, size = [], 0
-        if held:
-            u = _gather(*map(list, zip(*held)))
+        for u in _held(batches, values):
             yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["value", "n"])
 
     return docs.select("text").mapInArrow(run, "value bigint, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
@@ -254,18 +259,21 @@ def exchange(n: np.ndarray, n_classes: int = CLASSES, tolerance: float = TOLERAN
             return classes, history
 
 
-def cluster(spark: SparkSession, pairs: DataFrame, m: int, n_classes: int = CLASSES) -> np.ndarray:
-    """Classes of ``m`` numbers by :func:`exchange` in one task; it holds ``m`` squared counts at most, whatever the corpus."""
+def cluster(spark: SparkSession, pairs: DataFrame, m: int, n_classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of ``m`` numbers by :func:`exchange` in one task, and the counts of their pairs; the task holds ``m`` squared counts at most, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(m * m)
         for b in batches:
             n[b.column(0).to_numpy()] += b.column(1).to_numpy()
-        classes, _ = exchange(n.reshape(m, m), n_classes)
-        yield pa.RecordBatch.from_arrays([pa.array([classes.astype(np.int16).tobytes()], pa.binary())], names=["classes"])
+        n = n.reshape(m, m)
+        classes, _ = exchange(n, n_classes)
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (classes.astype(np.int16), class_pairs(n, classes, n_classes + 1))], names=["classes", "g"])
 
-    found = pairs.repartition(1).mapInArrow(run, "classes binary").first()
-    return np.frombuffer(found[0], np.int16).astype(np.int64) if found else exchange(np.zeros((m, m)), n_classes)[0]
+    found = pairs.repartition(1).mapInArrow(run, "classes binary, g binary").first()
+    if not found:
+        return exchange(np.zeros((m, m)), n_classes)[0], np.zeros((n_classes + 1, n_classes + 1))
+    return np.frombuffer(found[0], np.int16).astype(np.int64), np.frombuffer(found[1]).reshape(n_classes + 1, n_classes + 1)
 
 
 def log_transitions(g: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
@@ -293,6 +301,18 @@ def _assigned(docs: DataFrame, hashes, first: np.ndarray, free: np.ndarray, g: n
         after = after[w.doc[mine[after] + 1] == w.doc[mine[after]]]
         return np.concatenate([lead + prev[mine], lead[after] + c + at[mine[after] + 1]])
 
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for value, n in _held(batches, values):
+            word = value // (2 * c)
+            place = word % PLACES
+            order = np.argsort(place, kind="stable")
+            edge = np.searchsorted(place[order], np.arange(PLACES + 1))
+            value = (word // PLACES * (2 * c) + value % (2 * c))[order].astype(np.uint32)
+            n = n[order].astype(np.uint32)
+            some = np.flatnonzero(np.diff(edge))
+            parts = [pa.array([x[edge[k] : edge[k + 1]].tobytes() for k in some], pa.binary()) for x in (value, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), *parts], names=["place", "value", "n"])
+
     trans = log_transitions(g)
     # a word's occurrences also have a part of their class's count each
     total = np.log(np.maximum(g.sum(0), 1))
@@ -300,27 +320,22 @@ def _assigned(docs: DataFrame, hashes, first: np.ndarray, free: np.ndarray, g: n
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        value, n = [], []
+        profiles: dict[int, np.ndarray] = {}
         for b in batches:
-            value.append(b.column(0).to_numpy())
-            n.append(b.column(1).to_numpy())
-        if not value:
-            return
-        value, n = np.concatenate(value), np.concatenate(n)
-        word, local = np.unique(value // (2 * c), return_inverse=True)
-        best = np.empty(len(word), np.int64)
-        order = np.argsort(local, kind="stable")
-        edge = np.searchsorted(local[order], np.arange(0, len(word) + 4096, 4096))
-        for k, a in enumerate(range(0, len(word), 4096)):
-            at = order[edge[k] : edge[k + 1]]
-            rows = min(4096, len(word) - a)
-            profile = np.bincount((local[at] - a) * 2 * c + value[at] % (2 * c), n[at], rows * 2 * c).reshape(rows, 2 * c)
-            best[a : a + rows] = np.round(profile @ shared.value, 6).argmax(1)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(best)], names=["word", "class"])
-
-    # a task holds the contexts of TABLE / PLACES words, by classes, at most
-    by_word = _summed(docs, values).repartition(PLACES, F.expr(f"value div {2 * c}"))
-    return tuple(_packed(by_word.mapInArrow(run, "word bigint, class bigint"), (np.int64, np.int64)))
+            for place, value, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if place not in profiles:
+                    profiles[place] = np.zeros((v - place + PLACES - 1) // PLACES * 2 * c)
+                profiles[place][np.frombuffer(value, np.uint32)] += np.frombuffer(n, np.uint32)  # values differ in each part
+        for place, profile in profiles.items():
+            profile = profile.reshape(-1, 2 * c)
+            some = np.flatnonzero(profile.any(1))
+            best = np.round(profile[some] @ shared.value, 6).argmax(1)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (some * PLACES + place, best)], names=["word", "class"])
+
+    # a task holds the contexts of the table's words of its places, by classes, whatever the corpus
+    by_place = docs.select("text").mapInArrow(scan, "place bigint, value binary, n binary").repartition(PLACES, "place")
+    rows = by_place.mapInArrow(run, "word binary, class binary").collect()
+    return tuple(np.frombuffer(b"".join(r[k] for r in rows), np.int64) for k in range(2))
 
 
 def _class_counts(docs: DataFrame, hashes, classes: np.ndarray, c: int) -> np.ndarray:
@@ -334,16 +349,17 @@ def _class_counts(docs: DataFrame, hashes, classes: np.ndarray, c: int) -> np.nd
                 w = vt.words(part)
                 at = shared.value[numbers(w, hashes.value)]
                 g += np.bincount(before(at, w.doc, c - 1) * c + at, minlength=c * c)
-        yield pa.RecordBatch.from_arrays([pa.array([g.tobytes()], pa.binary())], names=["g"])
+        some = np.flatnonzero(g)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(g[some])], names=["at", "n"])
 
     total = np.zeros(c * c)
-    for r in docs.select("text").mapInArrow(run, "g binary").toLocalIterator():
-        total += np.frombuffer(r[0])
+    for at, n in docs.select("text").mapInArrow(run, "at int, n double").groupBy("at").agg(F.sum("n")).collect():
+        total[at] = n
     return total.reshape(c, c)
 
 
 def train(spark: SparkSession, docs: DataFrame, n_classes: int = CLASSES, head: int = HEAD, table: int = TABLE) -> Model:
-    """Fit on all of ``docs`` ``(text)``: four scans, whose sums cover every word of every text."""
+    """Fit on all of ``docs`` ``(text)``: at most four scans, whose sums cover every word of every text."""
     c = n_classes + 1
     counts = cut(word_counts(docs))
     # the least count of a word of the table, from numbers of words by bands of counts
@@ -365,17 +381,16 @@ def train(spark: SparkSession, docs: DataFrame, n_classes: int = CLASSES, head:
     free[top] = False
     own = spark.sparkContext.broadcast(hashes[top])
     m = len(top) + POOLS + 1
-    some = cluster(spark, pair_counts(docs, own), m, n_classes)
+    some, g = cluster(spark, pair_counts(docs, own), m, n_classes)
     classes = np.concatenate([some[len(top) + pool], some[len(top) :]]) if v else some
     classes[top] = some[: len(top)]
     shared = spark.sparkContext.broadcast(hashes)
     if free.any():
-        # free words count by the class of their pool until all have their own
-        g = _class_counts(docs, shared, classes, c)
+        # free words count by the class of their pool until all have their own, as in the exchange's counts
         word, to = _assigned(docs, shared, classes, np.concatenate([free, np.zeros(POOLS + 1, bool)]), g, c)
         classes = classes.copy()
         classes[word] = to
-    g = _class_counts(docs, shared, classes, c)
+        g = _class_counts(docs, shared, classes, c)
     rest = counts.where(F.col("n") < least).select("word", "n")
     return Model(hashes, classes, np.log(np.maximum(n, 1)), np.log(np.maximum(g.sum(0), 1)), log_transitions(g), rest)
 

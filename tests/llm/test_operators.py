@@ -396,6 +396,23 @@ def test_perplexities_against_brute_force(spark, head, table):
         assert math.isclose(got[k].perplexity, math.exp(-lp / 50), rel_tol=1e-9)
 
 
+def test_class_counts_are_summed_by_all_tasks_at_once(spark):
+    docs = _lm_docs()
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(8).cache()
+    hashes = np.sort(np.array([brown_lm.vt.hash_of(w) for w in {w for _, t in docs for w in t.split()}], np.uint64))
+    classes = np.concatenate([np.arange(len(hashes)) % 6, np.zeros(brown_lm.POOLS, np.int64), [6]])
+    at = {int(h): k % 6 for k, h in enumerate(hashes)}
+    expected = np.zeros((7, 7))
+    for _, t in docs:
+        seq = [6] + [at[brown_lm.vt.hash_of(w)] for w in t.split()]
+        np.add.at(expected, (seq[:-1], seq[1:]), 1)
+    spark.sparkContext.setJobGroup("class counts", "")
+    got = brown_lm._class_counts(frame, spark.sparkContext.broadcast(hashes), classes, 7)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert np.array_equal(got, expected)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("class counts")) < 5
+
+
 def _statistics(text: str | None) -> list:
     t = text or ""
     words = [re.findall(r"[0-9a-z_\x80-\U0010ffff]+", line.lower()) for line in t.split("\n")]
