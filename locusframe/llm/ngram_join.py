@@ -8,7 +8,12 @@ their sets is at least a threshold. Three scans of the text do it:
    length and positional filters where equal n-grams meet;
 3. the sets of the candidates that pass a suffix filter, each pair verified once.
 
-Equal sets share a key and go through the join as one. N-grams are compared by
+Equal sets share a key and go through the join as one. Where many sets have an
+n-gram in their prefixes and much else besides, they are not paired there but
+form a block, in which all are compared with all by products of matrices: such
+sets are counted and linked, and no pair of them is written. A pair of several
+blocks counts in the least of them, and one that is also found outside, only
+there. N-grams are compared by
 46 bits of their hashes, and sets by 64: for two given sets to be taken as equal
 by chance is as likely as 1 in 2**64, and a pair is missed with 1 in 2**32 where
 its only common n-gram of the prefixes follows two different ones of equal hash.
@@ -37,8 +42,12 @@ _CHUNKS = 64
 BUCKET_ENTRIES = 1_000_000
 #: Candidate pairs that a bucket expands at a time.
 _PAIRS = 1_000_000
-#: Bytes of outlines that a place of the filter holds about.
-OUTLINE_BYTES = 4 << 20
+#: Entries of an n-gram from which on they may form a block, and the share of their pairs, by a sample, that have an equal n-gram before it.
+BLOCK_ENTRIES, BLOCK_SHARE = 128, 1 / 64
+#: Bytes of sets, at 8 a gram, of a part of a block; a task compares two parts.
+PART_BYTES = 4 << 20
+#: Bytes of outlines that a place of the filter holds about; few outlines have some places nevertheless. A task compares two places.
+OUTLINE_BYTES, FEW_BYTES, FEW_PLACES = 24 << 20, 2 << 20, 5
 #: Tasks of the filter at most; beyond it a task has several places.
 MAX_TASKS = 20_000
 #: Bytes of sets that a task verifies pairs of about.
@@ -210,12 +219,33 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def meet(token, prev, pos, key, size, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _dense(group: np.ndarray, prev: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Whether each entry is of a group that forms a block; ``count`` of the entries behind it are its partners."""
+    dense = np.zeros(len(group), bool)
+    edge = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+    rng = np.random.default_rng(0)
+    for k in np.flatnonzero(np.diff(edge) >= BLOCK_ENTRIES):
+        a, b = edge[k], edge[k + 1]
+        total = np.cumsum(count[a:b])
+        if not total[-1]:
+            continue
+        pick = rng.integers(0, total[-1], 4096)
+        x = np.searchsorted(total, pick, "right")
+        y = x + 1 + pick - np.where(x > 0, total[x - 1], 0)
+        same = (prev[a + x] == prev[a + y]).mean()
+        # enough pairs for each entry, and of all that a block compares
+        dense[a:b] = same * total[-1] >= max(8 * (b - a), BLOCK_SHARE * (b - a) * (b - a - 1) / 2)
+    return dense
+
+
+def meet(token, prev, pos, key, size, t: float, blocks: list | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate key pairs of one bucket, the smaller set first.
 
     Entries of one n-gram meet if the sizes allow the threshold (length filter)
     and enough n-grams are left behind their places (positional filter). A pair
-    whose n-grams before this one are equal has met there already.
+    whose n-grams before this one are equal has met there already. With
+    ``blocks``, n-grams of dense groups are put there as ``(block, key)``, by the
+    least key of each group, and not paired.
     """
     order = np.lexsort((key, size, token))
     token, prev, pos, key, size = token[order], prev[order], pos[order], key[order], size[order]
@@ -231,6 +261,12 @@ def meet(token, prev, pos, key, size, t: float) -> Iterator[tuple[np.ndarray, np
     most = np.minimum(np.floor(size / t + 1e-9), 2**32 - 1).astype(np.int64)
     high = np.searchsorted(place, (group << 32) + most, "right")
     count = high - np.arange(len(place)) - 1
+    if blocks is not None and (dense := _dense(group, prev, count)).any():
+        at = np.flatnonzero(dense)
+        new = np.concatenate([[True], group[at][1:] != group[at][:-1]])
+        least = np.minimum.reduceat(key[at], np.flatnonzero(new))[np.cumsum(new) - 1]
+        blocks.append(np.unique(np.stack([least, key[at]]), axis=1))
+        count[dense] = 0
     total = np.concatenate([[0], np.cumsum(count)])
     i = 0
     while i < len(count):
@@ -245,13 +281,18 @@ def meet(token, prev, pos, key, size, t: float) -> Iterator[tuple[np.ndarray, np
 
 
 def _candidates(prefixes: DataFrame, t: float) -> DataFrame:
+    """``(ka, kb, block)``: pairs with a null block, and the members ``ka`` of blocks with a null ``kb``."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [x for b in batches for x in b.column("blob").to_pylist()]
-        for x, y in meet(*_unpack(blobs), t):
+        held = [x for b in batches for x in b.column("blob").to_pylist()]
+        blocks: list = []
+        for x, y in meet(*_unpack(held), t, blocks):
             low = np.minimum(x.view(np.int64), y.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.maximum(x.view(np.int64), y.view(np.int64)))], names=["ka", "kb"])
+            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(np.maximum(x.view(np.int64), y.view(np.int64))), pa.nulls(len(low), pa.int64())], names=["ka", "kb", "block"])
+        for block, key in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.nulls(len(key), pa.int64()), pa.array(block.view(np.int64))], names=["ka", "kb", "block"])
 
-    return prefixes.groupBy("bucket").applyInArrow(join, "ka bigint, kb bigint")
+    return prefixes.groupBy("bucket").applyInArrow(join, "ka bigint, kb bigint, block bigint")
 
 
 def _pack48(x: np.ndarray) -> bytes:
@@ -297,34 +338,165 @@ def suffix_filter(a: np.ndarray, b: np.ndarray, na: int, nb: int, t: float) -> b
     return int(np.abs(a - b).sum()) <= na + nb - 2 * least_overlap(na, nb, t)
 
 
+def _passing(data: np.ndarray, off: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """:func:`suffix_filter` of the pairs ``(a, b)`` of sets, many at a time; set ``k`` has its outline at ``data[off[k] : off[k + 1]]``."""
+    width = np.diff(off)
+    level = np.log2(np.maximum(width, 1) * 2).round().astype(np.int64)
+    room = size[a] + size[b] - 2 * least_overlap(size[a], size[b], t)
+    coarse = np.minimum(level[a], level[b])
+    found = np.zeros(len(a), bool)
+    for k in np.unique(coarse):
+        mine = np.flatnonzero(coarse == k)
+        step = max(1, (4 << 20) >> k)
+        for i in range(0, len(mine), step):
+            at = mine[i : i + step]
+            used, local = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+            cells = np.empty((len(used), 1 << k), np.int8)
+            for j in np.unique(level[used]):
+                rows = np.flatnonzero(level[used] == j)
+                # finer outlines are folded, some rows at a time
+                for r in range(0, len(rows), 1 + ((8 << 20) >> j)):
+                    some = rows[r : r + 1 + ((8 << 20) >> j)]
+                    packed = data[off[used[some], None] + np.arange(1 << (j - 1))]
+                    one = np.empty((len(some), 1 << j), np.int8)
+                    one[:, 0::2], one[:, 1::2] = packed & 15, packed >> 4
+                    while one.shape[1] > 1 << k:
+                        one = np.minimum(one[:, 0::2] + one[:, 1::2], 15)
+                    cells[some] = one
+            x, y = cells[local[: len(at)]], cells[local[len(at) :]]
+            found[at] = np.abs(x - y).sum(1, dtype=np.int64) <= room[at]
+    return found
+
+
 def _filtered(candidates: DataFrame, reps: DataFrame, t: float) -> DataFrame:
-    """Different candidates that pass :func:`suffix_filter`, by the outlines of their sets.
+    """Different candidates that have no common block and pass :func:`suffix_filter`, by the outlines of their sets.
 
-    Outlines lie in places by their keys' hashes. A key's outline goes once to
-    each place where it has partners, with their keys, and not once for each pair.
+    Outlines lie in places by their keys' hashes. A task compares two places: an
+    outline goes once to each of these tasks, and not once for each pair.
     """
-    places = max(1, math.ceil((reps.agg(F.sum(F.length("outline") + 16)).first()[0] or 0) / OUTLINE_BYTES))
+    total = reps.agg(F.sum(F.length("outline") + 16)).first()[0] or 0
+    places = max(1, math.ceil(total / OUTLINE_BYTES), min(FEW_PLACES, math.ceil(total / FEW_BYTES)))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(places))
-    side = reps.select("key", "size", "outline")
-    partners = candidates.groupBy("ka").agg(F.collect_set("kb").alias("kbs")).join(side.toDF("ka", "na", "oa"), "ka")
-    by_place = partners.select("ka", "na", "oa", F.explode("kbs").alias("kb")).withColumn("place", place("kb")).groupBy("ka", "place").agg(F.first("na").alias("na"), F.first("oa").alias("oa"), F.collect_list("kb").alias("kbs"))
+    tile = lambda x, y: (F.least(x, y) * places + F.greatest(x, y)).alias("tile")
+    side = reps.select(F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("q"), "key", "size", "outline", "blocks").select(tile(place("key"), F.col("q")), "key", "size", "outline", "blocks")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {k: (n, o) for k, n, o in zip(*(right.column(c).to_pylist() for c in ("key", "size", "outline")))}
-        a, b = [], []
-        for ka, na, oa, kbs in zip(*(left.column(c).to_pylist() for c in ("ka", "na", "oa", "kbs"))):
-            x = _cells(oa)
-            for kb in kbs:
-                nb, ob = at[kb]
-                if suffix_filter(x, _cells(ob), na, nb, t):
-                    a.append(ka)
-                    b.append(kb)
-        return pa.table({"ka": pa.array(a, pa.int64()), "kb": pa.array(b, pa.int64())})
-
-    # a task a place, which the engine would join into few by their bytes; the work is in the pairs
-    tasks = min(places, MAX_TASKS)
-    there = side.withColumn("place", place("key")).repartition(tasks, "place")
-    return by_place.repartition(tasks, "place").groupBy("place").cogroup(there.groupBy("place")).applyInArrow(run, "ka bigint, kb bigint")
+        if not left.num_rows:
+            return pa.table({"ka": pa.array([], pa.int64()), "kb": pa.array([], pa.int64())})
+        right = right.sort_by("key").combine_chunks()
+        key, size, n = right.column("key").to_numpy(), right.column("size").to_numpy(), right.num_rows
+        a, b = (np.searchsorted(key, left.column(c).to_numpy()) for c in ("ka", "kb"))
+        pair = np.unique(a * n + b)
+        a, b = pair // n, pair % n
+        lists = right.column("blocks")
+        inside = lists.is_valid().to_numpy()
+        lists = {k: set(lists[k].as_py()) for k in np.flatnonzero(inside).tolist()}
+        both = np.flatnonzero(inside[a] & inside[b])
+        free = np.ones(len(a), bool)
+        free[both] = [not lists[i] & lists[j] for i, j in zip(a[both].tolist(), b[both].tolist())]
+        a, b = a[free], b[free]
+        outline = right.column("outline").cast(pa.large_binary()).combine_chunks()
+        off = np.frombuffer(outline.buffers()[1], np.int64)[outline.offset : outline.offset + n + 1]
+        ok = _passing(np.frombuffer(outline.buffers()[2], np.uint8), off, size, a, b, t)
+        return pa.table({"ka": pa.array(key[a[ok]]), "kb": pa.array(key[b[ok]])})
+
+    # a task a tile, which the engine would join into few by their bytes; the work is in the pairs
+    tasks = min(places * (places + 1) // 2, MAX_TASKS)
+    asked = candidates.select(tile(place("ka"), place("kb")), "ka", "kb").repartition(tasks, "tile")
+    return asked.groupBy("tile").cogroup(side.repartition(tasks, "tile").groupBy("tile")).applyInArrow(run, "ka bigint, kb bigint")
+
+
+def compare(copies: np.ndarray, lists: list, part: np.ndarray | None, sets: list[np.ndarray], block: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(more, root)`` of each of these sets: the copies that the similar ones among them have, and the first set of its component.
+
+    Pairs are those of different ``part``, or all without one, that have no block
+    below ``block`` in common. Frequent grams are compared by a product of matrices,
+    rare ones set by set; both count exactly.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    row = np.repeat(np.arange(n), size)
+    gram, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > max(8, n // 8)
+    number = np.cumsum(often) - 1
+    has = np.zeros((n, int(often.sum())), np.float32)
+    some = often[column]
+    has[row[some], number[column[some]]] = 1
+    rare = np.flatnonzero(~some & (times[column] > 1))
+    # rare grams' rows, by gram; each entry's gram has them from first on
+    rare = rare[np.argsort(column[rare], kind="stable")]
+    c, r = column[rare], row[rare]
+    first = np.searchsorted(c, c)
+    count = times[c]
+    by_row = np.argsort(r, kind="stable")
+    edge = np.searchsorted(r[by_row], np.arange(n + 1))
+    below = sorted({x for own in lists for x in own if x < block})
+    where = {x: k for k, x in enumerate(below)}
+    other = np.zeros((n, len(below)), np.float32)
+    for k, own in enumerate(lists):
+        other[k, [where[x] for x in own if x < block]] = 1
+    more = np.zeros(n, np.int64)
+    near = np.empty((n, (n + 7) // 8), np.uint8)
+    step = max(1, (1 << 21) // n)
+    for i in range(0, n, step):
+        j = min(n, i + step)
+        common = (has[i:j] @ has.T).astype(np.float64)
+        mine = by_row[edge[i] : edge[j]]
+        total = np.concatenate([[0], np.cumsum(count[mine])])
+        p = 0
+        while p < len(mine):
+            q = max(p + 1, int(np.searchsorted(total, total[p] + (1 << 20), "right")) - 1)
+            at, reps = mine[p:q], count[mine[p:q]]
+            with_ = np.repeat(first[at], reps) + np.arange(total[q] - total[p]) - np.repeat(total[p:q] - total[p], reps)
+            cell, add = np.unique((np.repeat(r[at], reps) - i) * n + r[with_], return_counts=True)
+            common.reshape(-1)[cell] += add
+            p = q
+        ok = common / (size[i:j, None] + size - common) >= t
+        if part is not None:
+            ok &= part[i:j, None] != part
+        if len(below):
+            ok &= other[i:j] @ other.T == 0
+        ok[np.arange(j - i), np.arange(i, j)] = False
+        more[i:j] = ok @ copies
+        near[i:j] = np.packbits(ok, axis=1)
+    root = np.full(n, -1)
+    for k in range(n):
+        if root[k] >= 0:
+            continue
+        root[k], front = k, np.array([k])
+        while len(front):
+            front = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(near[front], axis=0), count=n))
+            front = front[root[front] < 0]
+            root[front] = k
+    return more, root
+
+
+def _in_blocks(docs: DataFrame, reps: DataFrame, n: int, t: float) -> DataFrame:
+    """``(ka, kb, more)``: for each set of ``reps`` ``(key, rep, size, copies, blocks)`` and two parts of a block, how many documents are similar to it there and a set that it is linked with."""
+    member = reps.where("blocks IS NOT NULL").select("key", "rep", "size", "copies", "blocks", F.explode("blocks").alias("block"))
+    parts = member.groupBy("block").agg(F.ceil(F.sum("size") * 8 / PART_BYTES).alias("s"))
+    member = member.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("key"), "s"))
+    tile = member.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("s") - 1))).withColumns({"i": F.least("part", "q"), "j": F.greatest("part", "q")})
+    tile = cut(tile.select(F.xxhash64("block", "i", "j").alias("bucket"), "key", "rep", "copies", "blocks", "block", F.when(F.col("i") < F.col("j"), F.col("part")).alias("part")))
+    needed = tile.groupBy("key", "rep").agg(F.collect_set("bucket").alias("buckets"))
+    sent = _sent_sets(docs, needed.select(F.col("key").alias("need"), F.col("rep").alias("doc_id"), "buckets"), n)
+
+    def run(table: pa.Table) -> pa.Table:
+        is_set = table.column("block").is_null()
+        held = table.filter(is_set)
+        found = dict(zip(held.column("ka").to_pylist(), held.column("grams").to_pylist()))
+        asked = table.filter(pa.compute.invert(is_set)).sort_by("ka")
+        key, copies, lists = asked.column("ka").to_numpy(), asked.column("copies").to_numpy(), asked.column("blocks").to_pylist()
+        if len(key) < 2:
+            return pa.table({"ka": pa.array([], pa.int64()), "kb": pa.array([], pa.int64()), "more": pa.array([], pa.int64())})
+        # a part meets itself in a task of its own, where it is null
+        part = None if asked.column("part").null_count else asked.column("part").to_numpy()
+        more, root = compare(copies, lists, part, [_unpack48(found[k]) for k in key.tolist()], asked.column("block")[0].as_py(), t)
+        some = more > 0
+        return pa.table({"ka": pa.array(key[some]), "kb": pa.array(key[root[some]]), "more": pa.array(more[some])})
+
+    asked = tile.select("bucket", F.col("key").alias("ka"), "copies", "blocks", "block", "part")
+    return sent.drop("kb").unionByName(asked, allowMissingColumns=True).groupBy("bucket").applyInArrow(run, "ka bigint, kb bigint, more bigint")
 
 
 def _placed(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -396,17 +568,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, reps: DataFrame, n: int, t: flo
     return sent.unionByName(asked).groupBy("bucket").applyInArrow(verify, "ka bigint, kb bigint, jaccard double")
 
 
-def _join(spark: SparkSession, docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, key)`` of all documents, a null key without words, and ``(ka, kb, jaccard)`` of similar different sets."""
+def _join(spark: SparkSession, docs: DataFrame, n: int, t: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(doc_id, key)`` of all documents, a null key without words; ``(ka, kb, jaccard)`` of similar different sets without a common block; what :func:`_in_blocks` gives."""
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     survey = cut(_survey(source, n))
     sketch = spark.sparkContext.broadcast(_sketch(survey))
-    members = survey.where("doc_id IS NOT NULL").select("doc_id", "key").distinct()
+    members = cut(survey.where("doc_id IS NOT NULL").select("doc_id", "key").distinct())
     reps = survey.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("outline").alias("outline"))
     entries = reps.agg(F.sum("size")).first()[0] or 0
     buckets = max(1, math.ceil(entries * (1 - t) / BUCKET_ENTRIES))
-    pairs = cut(_filtered(_candidates(_prefixes(source, n, t, sketch, buckets), t), reps, t))
-    return members, cut(_verified(source, pairs, reps.select("key", "rep", "size"), n, t))
+    found = cut(_candidates(_prefixes(source, n, t, sketch, buckets), t))
+    blocks = cut(found.where("block IS NOT NULL").groupBy("ka").agg(F.collect_set("block").alias("blocks")).toDF("key", "blocks"))
+    if blocks.isEmpty():
+        reps, inside = reps.withColumn("blocks", F.lit(None).cast("array<bigint>")), spark.createDataFrame([], "ka bigint, kb bigint, more bigint")
+    else:
+        copies = members.groupBy("key").agg(F.count("*").alias("copies"))
+        reps = reps.join(blocks, "key", "left")
+        inside = cut(_in_blocks(source, reps.where("blocks IS NOT NULL").join(copies, "key"), n, t))
+    pairs = cut(_filtered(found.where("block IS NULL").select("ka", "kb"), reps, t))
+    return members, cut(_verified(source, pairs, reps.select("key", "rep", "size"), n, t)), inside
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -414,7 +594,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, n: int = N, threshold:
 
     A pair is similar if the Jaccard index of its sets is at least
     ``threshold``, and every such pair counts, copies with each other and with
-    all that their set is similar to. Classes are the connected components;
+    all that their set is similar to; sets of one block are counted, not paired.
+    Classes are the connected components;
     ``class_id`` is the smallest id of one. Copies are counted, not paired.
 
     Texts without words and null texts are alone: their class is their id, with
@@ -423,14 +604,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, n: int = N, threshold:
     set count once, and an id with several sets has a row for each; an empty
     table gives no rows; other columns are not read, whatever their names.
     """
-    members, similar = _join(spark, docs, n, threshold, id_col, text_col)
-    members = cut(members)
+    members, similar, inside = _join(spark, docs, n, threshold, id_col, text_col)
     alone = members.where("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     members = members.where("key IS NOT NULL")
     keys = members.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     both = similar.select("ka", "kb").union(similar.select("kb", "ka")).toDF("key", "other")
-    linked = both.join(keys.select(F.col("key").alias("other"), F.col("copies").alias("times")), "other").groupBy("key").agg(F.sum("times").alias("more"))
-    label = components(similar.select("ka", "kb")).toDF("key", "label")
+    linked = both.join(keys.select(F.col("key").alias("other"), F.col("copies").alias("times")), "other").select("key", F.col("times").alias("more"))
+    linked = linked.unionByName(inside.select(F.col("ka").alias("key"), "more")).groupBy("key").agg(F.sum("more").alias("more"))
+    label = components(similar.select("ka", "kb").union(inside.select("ka", "kb").where("ka <> kb"))).toDF("key", "label")
     keys = keys.join(linked, "key", "left").join(label, "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = keys.groupBy("label").agg(F.min("least").alias("class_id"))
     keys = cut(keys.join(least, "label").select("key", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links")))

@@ -138,6 +138,26 @@ def test_split_neighbourhoods_keep_all_pairs(spark, monkeypatch):
     assert {(r.class_id, r.n_links) for r in ngram_join.similar_groups(spark, docs).collect()} == {(0, 19)}
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 20_000])
+def test_large_groups_of_similar_documents_are_counted_without_pairs(spark, monkeypatch, part_bytes):
+    rng = np.random.default_rng(5)
+    base = [[f"w{int(x)}" for x in rng.integers(0, 300, 60)] for _ in range(2)]
+    docs = []
+    for k in range(420):
+        w = list(base[k % 2]) if k < 400 else [f"u{int(x)}" for x in rng.integers(0, 300, 30)]
+        for _ in range(int(rng.integers(0, 7))):
+            w[int(rng.integers(len(w)))] = f"x{int(rng.integers(2000))}"
+        docs.append((k, " ".join(w)))
+    docs += [(k + 500, t) for k, t in docs[:30]]
+    asked = []
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda source, pairs, *rest: asked.append(pairs.count()) or verified(source, pairs, *rest))
+    monkeypatch.setattr(ngram_join, "PART_BYTES", part_bytes, raising=False)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(spark, spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == _groups({k: _grams(t, 2) for k, t in docs})
+    assert sum(n for _, n in got.values()) > 20_000 and asked[0] < 4_000
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v"), (None, "a b c d e f g h"), (4, None), (4, None), (5, "one text"), (5, "other text"), (5, "one text")]
     rows = [(*r, "g", k) for k, r in enumerate(rows)]
