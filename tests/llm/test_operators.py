@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import math
 import random
@@ -158,6 +159,21 @@ def test_large_groups_of_similar_documents_are_counted_without_pairs(spark, monk
     assert sum(n for _, n in got.values()) > 20_000 and asked[0] < 4_000
 
 
+def test_arrays_have_pages_of_their_own_after_larger_ones_are_freed():
+    class Info(ctypes.Structure):
+        _fields_ = [(k, ctypes.c_size_t) for k in ("arena", "ordblks", "smblks", "hblks", "hblkhd", "usmblks", "fsmblks", "uordblks", "fordblks", "keepcost")]
+
+    mallinfo2 = getattr(ctypes.CDLL(None), "mallinfo2", None)
+    if mallinfo2 is None:
+        pytest.skip("another C library")
+    mallinfo2.restype = Info
+    large = np.ones(3_900_000)
+    del large
+    before = mallinfo2().hblkhd
+    kept = np.ones(1_000_000)
+    assert mallinfo2().hblkhd - before >= kept.nbytes
+
+
 def test_keep_one(spark):
     rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "z y x w v"), (None, "a b c d e f g h"), (4, None), (4, None), (5, "one text"), (5, "other text"), (5, "one text")]
     rows = [(*r, "g", k) for k, r in enumerate(rows)]
