@@ -39,9 +39,9 @@ N, THRESHOLD = 2, 0.7
 SKETCH_BITS = 20
 _CHUNKS = 64
 #: Prefix entries that one join bucket holds about; the number of buckets follows from the corpus.
-BUCKET_ENTRIES = 1_000_000
+BUCKET_ENTRIES = 500_000
 #: Candidate pairs that a bucket expands at a time.
-_PAIRS = 1_000_000
+_PAIRS = 400_000
 #: Entries of an n-gram from which on they may form a block, and the share of their pairs, by a sample, that have an equal n-gram before it.
 BLOCK_ENTRIES, BLOCK_SHARE = 128, 1 / 64
 #: Bytes of sets, at 8 a gram, of a part of a block; a task compares two parts.
@@ -182,7 +182,7 @@ def _prefixes(docs: DataFrame, n: int, t: float, sketch, buckets: int) -> DataFr
                 prev = np.maximum((gram & np.uint64(0xFFFFFFFF)).astype(np.uint32), 1)
                 prev = np.concatenate([[np.uint32(0)], prev[:-1]]) if len(prev) else prev
                 prev[pos == 0] = 0
-                if rows + count > 60_000 or entries > 1_000_000:
+                if rows + count > 60_000 or entries > 500_000:
                     if parts:
                         yield from flush([(*p, *_tables(keys, sizes)) if i == 0 else (*p, _NONE64, _NONE) for i, p in enumerate(parts)])
                     parts, entries, keys, sizes, rows = [], 0, [], [], 0
