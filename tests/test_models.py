@@ -262,3 +262,41 @@ def test_a_dense_window_is_pruned_whole(spark):
     df = spark.createDataFrame(rows, "sample bigint, variant int, chr int, pos bigint, dosage double")
     kept = sorted(r[0] for r in L.ld_prune(df, 0.9).collect())
     assert kept[0] == 0 and all(v >= 700 for v in kept[1:])  # of the 700 equal ones only the first
+
+
+@pytest.mark.parametrize("missing", [False, True])
+def test_many_samples_have_the_models_of_few(spark, monkeypatch, missing):
+    g = panel(110, 60, 3, 21, 0.04)
+    y = 1.5 * np.nan_to_num(g[:, 8]) + np.random.default_rng(3).normal(size=110)
+    y[[3, 50]] = math.nan if missing else 0.0
+    df = frame(spark, g, 3).persist()
+    many = K.kinship(df, 4, prune=False)
+    assert isinstance(many, K.ManySamples)
+    got = {loco: MM.mlm_scan(df, y, many, 3, loco).orderBy("variant").toPandas() for loco in (True, False)}
+    free = MM.ols_cov_scan(df, y, np.arange(110.0)[:, None] % 7).orderBy("variant").toPandas()
+    reps, diag, pairs = ST.subsample_scan(df, y, 3).toPandas(), K.loco_diagonals(spark, many).toPandas(), K.pairs_frame(spark, many).toPandas()
+    top = {(r.snp, r.n_top) for r in ST.topk_screen(df, y, 5, 4).collect()}
+    meff = K.effective_tests(df).value
+    monkeypatch.setattr(K, "MOST_VARIANTS", 0)
+    few = K.kinship(df, 4, prune=False)
+    assert isinstance(few, K.Kinship) and few.status == many.status and K.effective_tests(df).value == meff
+    assert np.allclose(many.pcs, few.pcs, atol=1e-8) and np.allclose(many.k, few.k)
+    for loco, x in got.items():
+        z = MM.mlm_scan(df, y, few, 3, loco).orderBy("variant").toPandas()
+        assert np.allclose(x[["beta", "se", "t"]], z[["beta", "se", "t"]], atol=1e-6) and np.allclose(np.log(x["p"]), np.log(z["p"]), atol=1e-5)
+    z = MM.ols_cov_scan(df, y, np.arange(110.0)[:, None] % 7).orderBy("variant").toPandas()
+    assert np.allclose(free[["beta", "se", "t", "p"]], z[["beta", "se", "t", "p"]])
+    order = ["rep", "snp"]
+    assert np.allclose(reps.sort_values(order)["p"], ST.subsample_scan(df, y, 3).toPandas().sort_values(order)["p"], rtol=1e-4)
+    assert top == {(r.snp, r.n_top) for r in ST.topk_screen(df, y, 5, 4).collect()}
+    for c, k in few.loco.items():
+        assert np.allclose(diag[diag["chr"] == c].sort_values("sample")["k"], k.diagonal())
+    assert len(pairs) == 110 * 111 // 2 and np.allclose(pairs["k"], few.k[pairs["a"], pairs["b"]])
+
+
+def test_many_samples_are_no_error(spark):
+    """One more than may have a square matrix."""
+    n = K.MAX_SAMPLES + 1
+    df = spark.range(n).selectExpr("id AS sample", "explode(sequence(0, 11)) AS variant").selectExpr("sample", "cast(variant AS int) AS variant", "cast(variant div 6 + 1 AS int) AS chr", "cast(variant * 10 AS bigint) AS pos", "cast((xxhash64(sample, variant) & 3) % 3 AS double) AS dosage")
+    y = np.arange(n) % 5.0
+    assert MM.ols_cov_scan(df, y, np.ones((n, 1))).count() == 12 and MM.mlm_scan(df, y, K.kinship(df, 2), 1).count() == 12
