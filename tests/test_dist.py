@@ -50,3 +50,16 @@ def test_inflation_of_counted_values():
             x = x[(x >= lo) & (x <= hi)]
         plain = float(dist.chi2_isf1(x[[(len(x) - 1) // 2, len(x) // 2]]).mean() / 0.454936423119572)
         assert math.isclose(dist.lambda_gc(p, trim), plain) and math.isclose(dist.lambda_gc(value, trim, times=times), plain)
+
+
+def test_studentized_range_of_many_samples():
+    """The table's values for infinite degrees of freedom; the scale's distribution is then narrower than a fixed grid's steps."""
+    for k, want in ((2, 2.772), (3, 3.314), (10, 4.474)):
+        assert abs(dist.studentized_range_isf(0.05, k, 600_000) - want) < 2e-3
+
+
+def test_large_beta_quantiles_are_those_of_bisection(monkeypatch):
+    q, a, b = np.array([0.025, 0.975, 0.025, 0.975, 0.5]), np.array([1000.0, 1000, 2500, 4000, 1500]), np.array([1000.0, 9000, 1200, 1000, 1700])
+    fast = dist.beta_ppf(q, a, b)
+    monkeypatch.setattr(dist, "LARGE", np.inf)
+    assert np.allclose(-np.log10(fast), -np.log10(dist.beta_ppf(q, a, b)), atol=2e-8, rtol=0)
