@@ -6,6 +6,7 @@ is one task until its lines are spread. All parsing is columns of expressions.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,14 +88,15 @@ def info_scores(v: DataFrame) -> DataFrame:
 
 def calls(v: DataFrame, samples: list[str]) -> DataFrame:
     """``(idx, sample, dosage)`` in long form."""
-    names = F.array(*map(F.lit, samples)) if samples else F.array().cast("array<string>")
+    # a table, as an array of many names would be as many expressions
+    names = v.sparkSession.createDataFrame(pa.table({"_k": pa.array(range(len(samples)), pa.int32()), "sample": pa.array(samples, pa.string())}))
     x = v.select("idx", F.posexplode("gts").alias("_k", "_gt"))
-    return x.select("idx", F.element_at(names, F.col("_k") + 1).alias("sample"), dosage(F.col("_gt")).alias("dosage"))
+    return x.join(F.broadcast(names), "_k", "left").select("idx", "sample", dosage(F.col("_gt")).alias("dosage"))
 
 
 def vcf_lines(g: DataFrame) -> DataFrame:
     """The inverse: ``(value)`` lines of genotypes ``(sample, variant, chr, pos, dosage)``, header first."""
-    samples = [str(r[0]) for r in g.select("sample").distinct().orderBy("sample").collect()]
+    samples = [str(r) for r in sorted(g.select("sample").distinct().toArrow().column(0).to_pylist())]
     gt = F.when(F.col("dosage").isNull(), "./.").when(F.col("dosage") == 0, "0/0").when(F.col("dosage") == 1, "0/1").otherwise("1/1")
     rows = g.groupBy("variant", "chr", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample", gt.alias("gt")))), lambda s: s["gt"]), "\t").alias("_g"))
     body = rows.select(F.concat_ws("\t", F.concat(F.lit("chr"), "chr"), "pos", F.concat(F.lit("v"), "variant"), F.lit("A"), F.lit("G"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), "_g").alias("value"), "chr", "pos", "variant")

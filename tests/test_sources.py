@@ -123,3 +123,27 @@ def test_command_line(spark, tmp_path):
     assert "v44" in z.read("tables/consensus.csv").decode() and "report.html" in z.namelist()
     snps = spark.read.csv(str(tmp_path / "out" / "qc" / "QC_snp_map"), header=True)
     assert snps.count() == made["thresholds"]["m"] and snps.where(F.col("Ref") == "A").count() == snps.count()
+
+
+def test_spans_that_touch_against_all_pairs(spark):
+    from locusframe.operators import intervals as I
+
+    a = [(k, k % 3, k * 37 % 400, k * 37 % 400 + k % 60 - 5) for k in range(200)] + [(900, None, 1, 5), (901, 1, None, 5), (902, 0, 9, None)]
+    b = [(k % 3, k * 91 % 420, k * 91 % 420 + k % 9 - 1) for k in range(25)] + [(None, 1, 5), (2, 3, None)]
+    x, y = spark.createDataFrame(a, "id int, chr int, start bigint, end bigint"), spark.createDataFrame(b, "chr int, s bigint, e bigint")
+    full = lambda *v: all(q is not None for q in v)
+    want = {i for i, c, s, e in a if full(c, s, e) and s <= e and any(full(*r) and r[0] == c and r[1] <= r[2] and r[1] <= e and s <= r[2] for r in b)}
+    for width in (7, 100_000):
+        assert {r.id for r in I.range_join(x, y, ("start", "end"), ("s", "e"), width, "left_semi").collect()} == want
+        assert {r.id for r in I.range_join(x, y, ("start", "end"), ("s", "e"), width, "left_anti").collect()} == {r[0] for r in a} - want
+    plan = I.range_join(x, y, ("start", "end"), ("s", "e"), how="left_semi")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no pairs by bins
+
+
+def test_many_samples_of_a_file_are_no_expressions(spark):
+    from locusframe.sources import vcf as V
+
+    x = spark.createDataFrame([(0, ["0/1"] * 3000)], "idx bigint, gts array<string>")
+    c = V.calls(x, [f"s{k}" for k in range(3000)])
+    assert len(c._jdf.queryExecution().analyzed().toString()) < 20_000
+    assert c.count() == 3000 and c.where("sample = 's2999' AND dosage = 1").count() == 1
